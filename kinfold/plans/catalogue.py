@@ -1,0 +1,7 @@
+"""Every query over the driver's tables, with its SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+FLAGSHIP = "people_by_tier"
