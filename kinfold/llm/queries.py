@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import language
+from kinfold.llm import jaccard, language
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_docs(spark, sf_dir))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(_docs(spark, sf_dir))
 
 
-QUERIES = {"op4_language": op4_language}
+QUERIES = {"op1_jaccard": op1_jaccard, "op4_language": op4_language}
 ORACLE_SQL: dict[str, str] = {}
