@@ -134,3 +134,16 @@ def shingles(words: Words, k: int = 5) -> list[np.ndarray]:
 
 def blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
+
+
+def groups(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """Begins and ends of the stretches in which all of some equally long arrays stay the same."""
+    n = len(keys[0])
+    if not n:
+        return []
+    new = np.zeros(n, bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    start = np.flatnonzero(new).tolist()
+    return list(zip(start, [*start[1:], n], strict=True))
