@@ -70,9 +70,12 @@ def clamp(limit, default: int = DEFAULT, most: int = MOST) -> int:
 def stats(people: DataFrame) -> DataFrame:
     """``(kind, value, n)``: people by tier, source, domain and confidence, in one pass."""
     none = F.array().cast("array<string>")
+    def each(kind: str, c: str) -> Column:
+        return F.transform(F.coalesce(F.col(c), none), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
     pairs = F.concat(
         F.array(F.struct(F.lit("tier").alias("kind"), F.col("tier").alias("value")), F.struct(F.lit("confidence").alias("kind"), F.coalesce("confidence", F.lit("none")).alias("value"))),
-        *(F.transform(F.coalesce(F.col(c), none), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, c in (("source", "sources"), ("domain", "domains"))),
+        each("source", "sources"), each("domain", "domains"),
     )
     return people.select(F.explode(pairs).alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
 
