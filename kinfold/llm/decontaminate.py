@@ -7,7 +7,7 @@ left. Common runs are found by running Karp-Rabin: runs of the seed's length
 are compared by rolling hash, grow word by word, and are looked for again after
 tiles were marked. An item is covered by the share of its words in tiles, in
 whatever order the document has them; at ``COVERAGE`` the document counts as
-contaminated.
+contaminated. An item of fewer words than a seed only counts as a whole text.
 
 An item's runs of ``SEED`` words go into an index. It is broadcast if it stays
 below ``INDEX_ROWS`` entries; a larger benchmark is taken in parts of that
@@ -28,7 +28,7 @@ from pyspark.sql.types import StructField, StructType
 from kinfold.llm._frames import adding
 from kinfold.llm._words import U, Words, blob, pieces, runs_of
 
-#: Words of a seed and of the shortest tile; an item of fewer words is its own seed.
+#: Words of a seed and of the shortest tile; an item of fewer words is its own seed, of whole texts only.
 SEED = 5
 #: Share of an item's words in tiles from which a document is contaminated.
 COVERAGE = 0.6
@@ -116,6 +116,8 @@ class Index:
             at = self.hits(runs)
             text = np.searchsorted(words.first, at, side="right") - 1
             inside = at + k <= words.first[text + 1]
+            if k < SEED:  # so short an item counts only as a whole text
+                inside &= words.first[text + 1] - words.first[text] == k
             at, text = at[inside], text[inside]
             lo, hi = np.searchsorted(self.seed, runs[at]), np.searchsorted(self.seed, runs[at], side="right")
             for p, t, a, b in zip(at.tolist(), text.tolist(), lo.tolist(), hi.tolist(), strict=True):

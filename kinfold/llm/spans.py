@@ -26,7 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField
 
+from kinfold.llm._frames import adding
 from kinfold.llm._words import U, Words, _powers, blob, groups, mix, pieces
 from kinfold.session import written
 
@@ -79,6 +81,14 @@ class Spans:
         return head, head + len(self.words.data[lo:hi].decode())
 
 
+def _text_keys(w: Words) -> np.ndarray:
+    """A hash of each text's words, which tells rows of one id apart."""
+    up, down = _powers(len(w) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(w.hash * up[: len(w)])])
+        return mix((sums[w.first[1:]] - sums[w.first[:-1]]) * down[w.first[:-1]]).view(np.int64)
+
+
 def _id(batch: pa.RecordBatch) -> np.ndarray:
     """Document ids, null as the last of all."""
     return np.asarray(batch.column("doc_id").fill_null(LAST), np.int64)
@@ -189,9 +199,7 @@ def removals(docs: DataFrame) -> DataFrame:
             for piece in pieces(batch):
                 s = Spans(piece.column("text"))
                 n, ids, w = piece.num_rows, _id(piece), s.words
-                with np.errstate(over="ignore"):
-                    sums = np.concatenate([np.zeros(1, U), np.cumsum(w.hash * _powers(len(w) + 1)[0][: len(w)])])
-                    key = mix((sums[w.first[1:]] - sums[w.first[:-1]]) * _powers(len(w) + 1)[1][w.first[:-1]]).view(np.int64)
+                key = _text_keys(w)
                 at = np.minimum(np.searchsorted(top, s.hash), max(len(top) - 1, 0))
                 hot = top[at] == s.hash if len(top) else np.zeros(len(s.hash), bool)
                 first = hot & (top_doc[at] == ids[s.text]) & (top_at[at] == s.first) if len(top) else hot
@@ -264,18 +272,12 @@ def clean(docs: DataFrame) -> DataFrame:
     def keys(batch: pa.RecordBatch) -> list[pa.Array]:
         out = []
         for piece in pieces(batch):
-            w = Words(piece.column("__text"))
-            with np.errstate(over="ignore"):
-                sums = np.concatenate([np.zeros(1, U), np.cumsum(w.hash * _powers(len(w) + 1)[0][: len(w)])])
-                out.append(mix((sums[w.first[1:]] - sums[w.first[:-1]]) * _powers(len(w) + 1)[1][w.first[:-1]]).view(np.int64))
+            w = Words(piece.column("text"))
+            out.append(_text_keys(w))
         return [pa.array(np.concatenate(out))]
 
-    from pyspark.sql.types import LongType, StructField
-
-    from kinfold.llm._frames import adding
-
-    packed = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), F.col("text").cast("string").alias("__text"), F.col("doc_id").cast("long").alias("id"))
-    keyed = adding(packed.withColumnRenamed("__text", "text"), [StructField("text_key", LongType())], lambda b: keys(b.rename_columns([x if x != "text" else "__text" for x in b.schema.names])))
+    packed = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("id"))
+    keyed = adding(packed, [StructField("text_key", LongType())], keys)
     found = removals(docs).where("marks is not null").dropDuplicates(["doc_id", "text_key"]).withColumnsRenamed({"doc_id": "i", "text_key": "k"})
     joined = keyed.join(found, keyed["id"].eqNullSafe(found["i"]) & (keyed["text_key"] == found["k"]), "left")
 
@@ -297,7 +299,5 @@ def clean(docs: DataFrame) -> DataFrame:
                 out.append("".join(kept) + text[start:])
         return [pa.array(out, pa.string())]
 
-    from pyspark.sql.types import StringType
-
     done = adding(joined.select("row", "text", "marks"), [StructField("cut", StringType())], cut)
     return done.select(*(F.col("cut").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names))
