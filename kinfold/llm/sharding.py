@@ -88,7 +88,7 @@ def tier(n_bytes):
 
 def _listed(spark: SparkSession, folder: str) -> DataFrame:
     """The files of ``folder`` as shards, with the rows and stored bytes of each."""
-    files = spark.read.parquet(folder).select(F.col("_metadata.file_path").alias("shard"), F.col("_metadata.file_size").alias("size"))
+    files = _files(spark, [folder]).select(F.col("_metadata.file_path").alias("shard"), F.col("_metadata.file_size").alias("size"))
     found = files.groupBy("shard").agg(F.count("*").alias("n_rows"), F.max("size").alias("n_bytes"))
     return found.select("shard", tier(F.col("n_bytes")).alias("tier"), "n_rows", "n_bytes")
 
@@ -135,7 +135,7 @@ def compact(spark: SparkSession, root: str) -> int:
         return had[-1]
     old = shards.join(plan, "shard")
     folders = [r[0] for r in old.select(F.regexp_extract("shard", f"^(.*/{FOLDER})/.*$", 1)).distinct().collect()]
-    rows = spark.read.parquet(*folders)
+    rows = _files(spark, folders)
     rows = rows.select(ROW, F.col("_metadata.file_path").alias(SHARD))
     few = shards.count() <= BROADCAST_ROWS
     rows = rows.join(F.broadcast(plan) if few else plan, SHARD).select(ROW, "into")
@@ -148,13 +148,18 @@ def compact(spark: SparkSession, root: str) -> int:
     return new
 
 
+def _files(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """The files below some data folders, whether they lie in groups or not."""
+    return spark.read.option("recursiveFileLookup", "true").parquet(*folders)
+
+
 def read(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """The documents of a version: ``row``, a struct of their columns, and ``shard``, the file."""
     shards = manifest(spark, root, version)
     folders = [r[0] for r in shards.select(F.regexp_extract("shard", f"^(.*/{FOLDER})/.*$", 1)).distinct().collect()]
     if not folders:
         return spark.createDataFrame([], f"{ROW} struct<doc_id:long>, {SHARD} string")
-    rows = spark.read.parquet(*folders).select(ROW, F.col("_metadata.file_path").alias(SHARD))
+    rows = _files(spark, folders).select(ROW, F.col("_metadata.file_path").alias(SHARD))
     few = shards.count() <= BROADCAST_ROWS
     own = shards.select(SHARD)
     return rows.join(F.broadcast(own) if few else own, SHARD)
