@@ -3,8 +3,8 @@
 Each source's documents are dealt by a hash of their ids into permuted blocks.
 A source whose target is below its size draws part of its blocks, in permuted
 order, one above its size draws all of them once and part of them again; the
-last block is cut at the document where the target is reached, and two single
-documents close what gap is left. No block is drawn twice in a round, so no
+last block is cut at the document where the target is reached, and single
+documents close what gap is left where it is large. No block is drawn twice in a round, so no
 document is taken more than twice.
 
 The draws go to output shards down a binary tree. A node has the number of
@@ -37,6 +37,8 @@ MOST = 2
 #: Blocks of a source at most, and documents of a block at least on average.
 BLOCKS = 4096
 PER_BLOCK = 16
+#: Gaps to a target above this share of its source are closed with single documents, this many at most.
+NEAR, PICKS = 0.002, 10
 #: Words of an output shard, and levels of the tree at most.
 SHARD_WORDS = 4_000_000
 DEPTH = 14
@@ -89,9 +91,9 @@ def draws_of(units: DataFrame, goals: DataFrame) -> DataFrame:
     ``units(source, h, block, size)``: a row for each hash of a source.
     """
     goals = goals.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
-    goals = goals.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")).select("source", "full", "rest")
+    goals = goals.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")).select("source", "source_size", "full", "rest")
     blocks = units.groupBy("source", "block").agg(F.sum("size").alias("size"), F.min("h").alias("low"), F.max("h").alias("high"))
-    blocks = _with_source(blocks, goals)
+    blocks = _with_source(blocks, goals.drop("source_size"))
     whole = blocks.withColumn("round", F.explode(F.expr("filter(array(1, 2), x -> x <= full)"))).select("source", "block", "low", "high", "round")
     # permuted blocks of the round that is not complete; at most BLOCKS of a source
     order = W.partitionBy("source").orderBy(number(F.lit("cut"), F.col("source"), F.col("block")), "block")
@@ -103,18 +105,22 @@ def draws_of(units: DataFrame, goals: DataFrame) -> DataFrame:
     cut = taken.select("source", "block", "low", "high", (F.col("full") + 1).alias("round"))
     drawn = written(whole.unionByName(part).unionByName(cut), "draws")
     # single units close the gap: each time the unit not taken in that round whose size is nearest to it
-    for _ in range(2):
-        last = drawn.where("round > 0")
-        sums = _taken(units, last).groupBy("source").agg(F.sum("size").alias("got"))
-        gap = goals.join(sums, goals["source"].eqNullSafe(sums["source"]), "left").select(goals["source"], "full", (F.col("rest") + F.col("full") * F.lit(0) - F.lit(0)).alias("rest"), F.coalesce("got", F.lit(0)).alias("got"))
-        whole_size = units.groupBy("source").agg(F.sum("size").alias("all"))
-        gap = _with_source(gap, whole_size).select("source", "full", (F.col("rest") + F.col("full") * F.col("all") - F.col("got")).alias("gap")).where("gap > 0")
-        free = _with_source(units, gap)
-        used = _with_source(last, gap).where(F.col("round") == F.col("full") + 1).select("source", "block", "low", "high")
-        marked = free.alias("u").join(used.alias("d"), F.expr("u.source <=> d.source and u.block = d.block and u.h between d.low and d.high"), "left_anti")
-        best = marked.where("size > 0 and size < 2 * gap").groupBy("source").agg(F.min_by(F.struct("block", "h", (F.col("full") + 1).alias("round")), F.struct(F.abs(F.col("size") - F.col("gap")), "h")).alias("x"))
-        picks = best.select("source", "x.block", F.col("x.h").alias("low"), F.col("x.h").alias("high"), "x.round")
-        drawn = written(drawn.unionByName(picks), "draws")
+    whole_size = goals.select("source", "source_size")
+    for _ in range(PICKS):
+        sums = _taken(units, drawn).groupBy("source").agg(F.sum("size").alias("got"))
+        gap = goals.join(sums, goals["source"].eqNullSafe(sums["source"]), "left").select(goals["source"], "full", "rest", F.coalesce("got", F.lit(0)).alias("got"))
+        gap = _with_source(gap, whole_size).withColumn("gap", F.col("rest") + F.col("full") * F.col("source_size") - F.col("got"))
+        gap = written(gap.where((F.col("gap") > NEAR * F.col("source_size"))).select("source", "full", "gap"), "gap")
+        if not gap.limit(1).count():
+            break
+        used = _with_source(drawn, gap).where(F.col("round") == F.col("full") + 1).select("source", "block", "low", "high")
+        free = _with_source(units, gap).alias("u").join(used.alias("d"), F.expr("u.source <=> d.source and u.block = d.block and u.h between d.low and d.high"), "left_anti")
+        unit = F.struct("block", "h", (F.col("full") + 1).alias("round"))
+        best = free.where("size > 0 and size < 2 * gap").groupBy("source").agg(F.min_by(unit, F.struct(F.abs(F.col("size") - F.col("gap")), "h")).alias("x"))
+        picks = written(best.select("source", "x.block", F.col("x.h").alias("low"), F.col("x.h").alias("high"), "x.round"), "picks")
+        if not picks.limit(1).count():
+            break
+        drawn = drawn.unionByName(picks)
     return drawn
 
 
@@ -229,3 +235,37 @@ def report(docs: DataFrame) -> DataFrame:
     on = rows["source"].eqNullSafe(other["s"]) & (rows["block"] == other["b"]) & rows["h"].between(other["low"], other["high"])
     times = rows.join(F.broadcast(other) if small else other, on, "left").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count("low").alias("times"))
     return _with_source(times, goals.select("source", "source_size", "target")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def _sql_number(*parts: str) -> str:
+    return f"cast('0x' || substr(md5(concat_ws(':', '{SEED}', {', '.join(parts)})), 1, {BITS // 4}) as bigint)"
+
+
+#: The same rows in SQL, up to which documents are taken; the shards that they go to play no part.
+ORACLE_SQL = f"""
+with recursive sized as (select row_number() over () as r, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
+    {_sql_number("'doc'", "coalesce(doc_id::varchar, '')")} as h from documents),
+by_source as (select source, sum(size)::bigint as source_size, count(*) as n from sized group by source),
+weighed as (select *, [{', '.join(map(str, WEIGHTS))}][(row_number() over (order by source nulls last) - 1) % {len(WEIGHTS)} + 1] as w from by_source),
+levels as (select *, ({SHARE} * sum(source_size) over () - {MOST} * coalesce(sum(source_size) over (order by source_size / w, source nulls last rows between unbounded preceding and 1 preceding), 0))
+    / sum(w) over (order by source_size / w, source nulls last rows between current row and unbounded following) as l from weighed),
+goals as (select source, source_size, n, least({float(MOST)} * source_size, max(l) over () * w)::double as target from levels),
+split as (select *, case when source_size > 0 then floor(target / source_size)::int else 0 end as whole from goals),
+goal as (select *, target - whole * source_size as rest, least({BLOCKS}, greatest(1, ceil(n / {PER_BLOCK})))::bigint as blocks from split),
+units as (select s.source as source, h, (h * blocks) >> {BITS} as block, sum(size)::bigint as size from sized s join goal g on g.source is not distinct from s.source group by s.source, h, blocks),
+block_size as (select source, block, sum(size) as size from units group by source, block),
+run as (select b.source as source, block, b.size as size, rest, sum(b.size) over (partition by b.source order by {_sql_number("'cut'", "coalesce(b.source, '')", 'block::varchar')}, block) as upto
+    from block_size b join goal g on g.source is not distinct from b.source),
+part as (select source, block from run where upto <= rest),
+edge as (select source, block, rest - (upto - size) as rest from run where upto > rest and upto - size < rest),
+inside as (select u.source as source, u.h as h, e.rest as rest, sum(u.size) over (partition by u.source, u.block order by u.h) as upto from units u join edge e on e.source is not distinct from u.source and e.block = u.block),
+base as (select u.source as source, u.h as h, u.size as size, exists (select 1 from part p where p.source is not distinct from u.source and p.block = u.block) or exists (select 1 from inside i where i.source is not distinct from u.source and i.h = u.h and i.upto <= i.rest) as taken from units u),
+start as (select b.source as source, g.source_size as source_size, g.rest - coalesce(sum(b.size) filter (where taken), 0) as gap, list({{'size': b.size, 'h': b.h}}) filter (where not taken) as free from base b join goal g on g.source is not distinct from b.source group by b.source, g.source_size, g.rest),
+picks(source, source_size, gap, free, best, k) as (
+  select source, source_size, gap::double, free, null::struct(d double, h bigint, size bigint), 0 from start
+  union all select source, source_size, gap - best.size, list_filter(free, lambda u: u.h <> best.h), best, k + 1 from (
+    select source, source_size, gap, free, k, list_min(list_transform(list_filter(free, lambda u: u.size > 0 and u.size < 2 * gap), lambda u: {{'d': abs(u.size - gap)::double, 'h': u.h, 'size': u.size}})) as best from picks where gap > {NEAR} * source_size and k < {PICKS}) where best is not null),
+chosen as (select source, h from base where taken union select source, best.h from picks where k > 0)
+select s.doc_id as doc_id, s.size as size, g.source_size as source_size, g.target as target, s.size * (g.whole + case when exists (select 1 from chosen c where c.source is not distinct from s.source and c.h = s.h) then 1 else 0 end)::bigint as taken
+from sized s join goal g on g.source is not distinct from s.source
+"""

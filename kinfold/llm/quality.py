@@ -38,7 +38,7 @@ from kinfold.session import written
 ORDER = 4
 CLASSES = 64
 PRIOR = 200
-QUANTILE = 0.99
+QUANTILE = 0.995
 LEAST = 50
 #: Scores are put in steps of this size for the quantiles.
 STEP = 1e-4

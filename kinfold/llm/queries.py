@@ -52,4 +52,4 @@ def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_jaccard, op2_quality, op3_mixing, op4_language, op5_neighbours, op6_privacy, op7_lines, op8_decontamination, op9_sharding, op10_spans)}
-ORACLE_SQL: dict[str, str] = {"op1_jaccard": jaccard.ORACLE_SQL, "op7_lines": lines.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_jaccard": jaccard.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op7_lines": lines.ORACLE_SQL}
