@@ -137,8 +137,8 @@ def search_contacts(people: DataFrame, args: dict) -> str:
 
 
 def _record(person: DataFrame) -> str:
-    row = served(person).limit(1).toJSON().first()
-    return json.dumps(json.loads(row), indent=2, ensure_ascii=False)
+    row = served(person).limit(1).select(F.to_json(F.struct("*"))).first()
+    return json.dumps(json.loads(row[0]), indent=2, ensure_ascii=False)
 
 
 def get_contact(people: DataFrame, args: dict) -> str:
