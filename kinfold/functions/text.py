@@ -126,15 +126,17 @@ def human_age(seconds: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """Named entities, the ampersand first, so that a doubly escaped one is decoded twice; decimal ones below 256."""
+    """Named entities, the ampersand first, so that a doubly escaped one is decoded twice; then decimal ones."""
     out = text(c)
     for name, sign in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&apos;", "'")):
         out = F.replace(out, F.lit(name), F.lit(sign))
     # what is left are decimal references: cut there, and each piece begins with its number
     pieces = F.split(out, r"&#(?=\d+;)", -1)
-    point = lambda p: F.regexp_extract(p, r"^(\d+);", 1).cast("int")
-    sign = lambda p: F.decode(F.unhex(F.lpad(F.hex(point(p)), 8, "0")), "UTF-32BE")
-    done = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(sign(p), F.regexp_replace(p, r"^\d+;", ""))))
+    point = lambda p: F.regexp_extract(p, r"^(\d+);", 1).try_cast("int")
+    known = lambda p: F.coalesce((point(p) < 0xD800) | point(p).between(0xE000, 0x10FFFF), F.lit(False))
+    sign = lambda p: F.decode(F.unhex(F.lpad(F.hex(point(p)), 8, "0")), "utf-32")
+    one = lambda p: F.when(known(p), F.concat(sign(p), F.regexp_replace(p, r"^\d+;", ""))).otherwise(F.concat(F.lit("&#"), p))
+    done = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(one(p)))
     return F.array_join(done, "")
 
 
