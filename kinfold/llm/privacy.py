@@ -234,14 +234,14 @@ def findings(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found = written(_found(rows), "found")
-    near = found.where(F.size("near") > 0).select("text_key", F.explode("near").alias("x")).select("text_key", "x.entity", "x.context", F.explode("x.terms").alias("term"))
-    each = near.distinct()
+    near = found.where(F.size("near") > 0).select("doc_id", "text_key", F.explode("near").alias("x"))
+    each = near.select("doc_id", "text_key", "x.entity", "x.context", F.explode("x.terms").alias("term")).distinct()
     contexts = each.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
-    pairs = each.select("entity", "term", "text_key").distinct().groupBy("entity", "term").agg(F.count("*").alias("met"))
+    pairs = each.select("entity", "term", "doc_id", "text_key").distinct().groupBy("entity", "term").agg(F.count("*").alias("met"))
     candidates = written(contexts.where(F.col("contexts") >= CONTEXTS).join(pairs, ["entity", "term"]), "candidates")
     marks = None
     if candidates.limit(1).count():
-        df = _frequencies(rows.distinct(), candidates.select("term").distinct())
+        df = _frequencies(rows, candidates.select("term").distinct())
         left = -F.log2(F.least(F.lit(1.0), F.col("met") / F.col("docs")))
         terms = candidates.join(df, "term").groupBy("term").agg(F.min(left).alias("bits")).where(F.col("bits") <= GENERALISE)
         terms = written(terms.select("term", F.when(F.col("bits") <= REMOVE, "remove").otherwise("generalise").alias("action")), "terms")
