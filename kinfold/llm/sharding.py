@@ -129,8 +129,10 @@ def compact(spark: SparkSession, root: str) -> int:
     if not had:
         return 0
     shards = manifest(spark, root, had[-1])
-    plan = moves(shards).cache()
-    merged = plan.select("into").distinct().count()
+    plan = moves(shards)
+    groups = plan.select("into").distinct().withColumn("number", F.row_number().over(W.orderBy("into")) - 1)
+    plan = plan.join(groups, "into").cache()
+    merged = groups.count()
     if not merged:
         return had[-1]
     old = shards.join(plan, "shard")
@@ -138,10 +140,10 @@ def compact(spark: SparkSession, root: str) -> int:
     rows = _files(spark, folders)
     rows = rows.select(ROW, F.col("_metadata.file_path").alias(SHARD))
     few = shards.count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(plan) if few else plan, SHARD).select(ROW, "into")
+    rows = rows.join(F.broadcast(plan) if few else plan, SHARD).select(ROW, "into", "number")
     folder = _folder(root, had)
-    numbered = rows.repartition(merged, "into").sortWithinPartitions("into")
-    numbered.write.option("compression", "zstd").partitionBy("into").parquet(folder)
+    # each new shard has a task of its own: hashes of a few names would put several into one
+    rows.repartitionById(merged, "number").drop("number").write.option("compression", "zstd").partitionBy("into").parquet(folder)
     kept = shards.join(plan, "shard", "left_anti")
     new = commit(kept.unionByName(_listed(spark, folder)), root, had[-1])
     plan.unpersist()
