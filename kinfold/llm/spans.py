@@ -143,15 +143,36 @@ def _repeated(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _frequent(repeated: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``FREQUENT`` most frequent hashes, in order of hash, with their first places."""
+    """The most frequent hashes, ``FREQUENT`` of them at most, in order of hash, with their first places.
+
+    How many hashes have each size of count is known first, so only those that
+    are wanted come to the driver.
+    """
+    size = lambda t: np.floor(8 * np.log2(_read(t, "count"))).astype(np.int32)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            level, n = np.unique(size(pa.Table.from_batches([batch])), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(n.astype(np.int64))], names=["level", "n"])
+
+    levels = repeated.mapInArrow(sizes, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect()
+    total, least = 0, None
+    for r in levels:
+        total += r["n"]
+        if total > FREQUENT:
+            break
+        least = r["level"]
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            h, d, a, c = _read(t, "hash", U), _read(t, "doc"), _read(t, "at", np.int32), _read(t, "count")
-            top = np.lexsort((h, -c))[:FREQUENT]
-            yield pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(d[top]), pa.array(a[top]), pa.array(c[top])], names=["hash", "doc", "at", "count"])
+            top = size(t) >= least
+            h, d, a = _read(t, "hash", U), _read(t, "doc"), _read(t, "at", np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(d[top]), pa.array(a[top])], names=["hash", "doc", "at"])
 
-    rows = repeated.mapInArrow(best, "hash long, doc long, at int, count long").orderBy(F.desc("count"), "hash").limit(FREQUENT).toPandas()
+    if least is None:
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows = repeated.mapInArrow(best, "hash long, doc long, at int").toPandas()
     h = rows["hash"].to_numpy(np.int64).view(U)
     order = np.argsort(h)
     return h[order], rows["doc"].to_numpy(np.int64)[order], rows["at"].to_numpy(np.int64)[order]
