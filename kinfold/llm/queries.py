@@ -48,7 +48,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.report(_table(spark, sf_dir, "documents"))
+    return spans.report(_table(spark, sf_dir, "documents"), ends=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_jaccard, op2_quality, op3_mixing, op4_language, op5_neighbours, op6_privacy, op7_lines, op8_decontamination, op9_sharding, op10_spans)}

@@ -2,8 +2,11 @@
 
 A sentence ends at a word that closes with ``.``, ``!`` or ``?``, at a line
 break, or with the text. From every sentence on, the shortest run of sentences
-of at least ``WORDS`` words together is a span (one long sentence can be one);
-its hash is taken over lower-cased words. A span that occurs several times is
+of at least ``WORDS`` words together is a span (one long sentence can be one),
+and so is the shortest such run up to every sentence; a text of fewer words is
+one as a whole. Any repeated run of at least ``WORDS`` words is covered by the
+spans inside it, to its last sentence, so longer runs need no hashes. A span's
+hash is taken over lower-cased words. A span that occurs several times is
 kept where it is first, by document id and place; every sentence that another
 occurrence covers is removed.
 
@@ -47,10 +50,11 @@ class Spans:
     """The spans of some texts: ``hash``, ``text``, and ``first`` and ``last`` sentence within the text.
 
     ``begin`` and ``end``: words of each sentence; ``sentences``: for each text
-    the index of its first sentence, with the total at the end.
+    the index of its first sentence, with the total at the end. Without
+    ``ends`` only the runs from every sentence on are spans.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, ends: bool = True):
         w = self.words = Words(texts)
         n = len(w)
         buf = np.frombuffer(w.data, np.uint8)
@@ -64,7 +68,19 @@ class Spans:
         text = np.searchsorted(self.sentences, np.arange(len(self.begin)), side="right") - 1
         last = np.searchsorted(self.end, self.begin + WORDS)
         ok = np.flatnonzero(last < self.sentences[text + 1])
-        self.text, last = text[ok], last[ok]
+        if ends:
+            # the latest start of a long enough run up to each sentence, where the run from that start on ends earlier
+            start = np.searchsorted(self.begin, self.end - WORDS, side="right") - 1
+            to = np.flatnonzero(start >= self.sentences[text])
+            to = to[last[start[to]] < to]
+            size = w.counts()
+            short = np.flatnonzero((size > 0) & (size < WORDS))
+            ok, last = np.concatenate([ok, start[to], self.sentences[short]]), np.concatenate([last[ok], to, self.sentences[short + 1] - 1])
+            order = np.lexsort((last, ok))
+            ok, last = ok[order], last[order]
+        else:
+            last = last[ok]
+        self.text = text[ok]
         a, b = self.begin[ok], self.end[last] if len(ok) else self.begin[ok]
         up, down = _powers(n + 1)
         with np.errstate(over="ignore"):
@@ -114,7 +130,7 @@ def _read(table: pa.Table, name: str, kind=np.int64) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
-def _repeated(docs: DataFrame, buckets: int) -> DataFrame:
+def _repeated(docs: DataFrame, buckets: int, ends: bool) -> DataFrame:
     """``(bucket, hash, doc, at, count)``: repeated hashes with their first places, packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts = 0, []
@@ -123,7 +139,7 @@ def _repeated(docs: DataFrame, buckets: int) -> DataFrame:
             return _rows(["hash", "doc", "at", "count"], (h % U(buckets)).astype(np.int64), [h, d, a.astype(np.int32), c.astype(np.int32)])
         for batch in batches:
             for piece in pieces(batch):
-                s = Spans(piece.column("text"))
+                s = Spans(piece.column("text"), ends)
                 parts.append((s.hash, _id(piece)[s.text], s.first, np.ones(len(s.hash), np.int64)))
                 held += len(s.hash)
                 if held > GATHER:
@@ -196,21 +212,22 @@ def _places(h: np.ndarray) -> np.ndarray:
     return np.concatenate([h & U(FILTER_BITS - 1), h >> U(39)]).astype(np.int64)
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, ends: bool = True) -> DataFrame:
     """``(doc_id, text_key, n_sentences, n_removed, removed)`` of every row of ``docs(doc_id, text)``.
 
     ``removed``: begins and ends of what goes, in code points, as
     ``begin:end`` joined by commas, neighbouring sentences as one.
-    Null and empty texts have no sentences; texts of fewer than ``WORDS`` words
-    have no span and stay. Rows with one id count as one document where the
+    Null and empty texts have no sentences. Without ``ends``, spans are only the
+    runs from every sentence on: the end of a repeated run can stay, and texts of
+    fewer than ``WORDS`` words do. Rows with one id count as one document where the
     first place is sought, so equal rows are treated alike. A null id comes
     after all others. Other columns are not read.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.select(F.octet_length("text").alias("n")).agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (40 * GATHER) + 1)
-    repeated = written(_repeated(docs, buckets), "repeated")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (20 * GATHER) + 1)
+    repeated = written(_repeated(docs, buckets, ends), "repeated")
     shared = spark.sparkContext.broadcast((*_frequent(repeated), _filter(repeated)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +235,7 @@ def removals(docs: DataFrame) -> DataFrame:
         schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_sentences", pa.int64()), ("marks", pa.binary()), *((n, pa.binary()) for n in ("hash", "doc", "key", "at", "last"))])
         for batch in batches:
             for piece in pieces(batch):
-                s = Spans(piece.column("text"))
+                s = Spans(piece.column("text"), ends)
                 n, ids, w = piece.num_rows, _id(piece), s.words
                 key = _text_keys(w)
                 at = np.minimum(np.searchsorted(top, s.hash), max(len(top) - 1, 0))
@@ -269,8 +286,11 @@ def _covered(n: int, marks: list[bytes] | None) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_sentences, n_removed, removed)`` of every row; ``removed`` lists sentence ranges ``first-last``."""
+def report(docs: DataFrame, ends: bool = False) -> DataFrame:
+    """``(doc_id, n_sentences, n_removed, removed)`` of every row; ``removed`` lists sentence ranges ``first-last``.
+
+    The query and ``clean`` have ``ends``.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count, told = [], []
@@ -281,7 +301,7 @@ def report(docs: DataFrame) -> DataFrame:
                 told.append(",".join(f"{a}-{b - 1}" for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_sentences"), pa.array(count, pa.int64()), pa.array(told, pa.string())], names=["doc_id", "n_sentences", "n_removed", "removed"])
 
-    return removals(docs).mapInArrow(run, "doc_id long, n_sentences long, n_removed long, removed string")
+    return removals(docs, ends).mapInArrow(run, "doc_id long, n_sentences long, n_removed long, removed string")
 
 
 def clean(docs: DataFrame) -> DataFrame:

@@ -72,3 +72,31 @@ def test_clean(spark, odd):
     assert got[2] == "Other one. Éther end."
     cut = spans.clean(odd[0])
     assert cut.columns == odd[0].columns and cut.count() == len(odd[1])
+
+
+def every_run(rows):
+    """Removed sentences when every run of sentences of WORDS words and more is hashed, and shorter texts as a whole."""
+    own, first = [], {}
+    for d, t in rows:
+        s = [tuple(x) for x in sentences(t)]
+        size = [len(x) for x in s]
+        found = [(tuple(s[i:j]), i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1) if sum(size[i:j]) >= spans.WORDS or j - i == len(s)]
+        own.append((d, found))
+        for k, i, _ in found:
+            first[k] = min(first.get(k, (d, i)), (d, i))
+    return {d: tuple(sorted({x for k, i, j in found if first[k] < (d, i) for x in range(i, j)})) for d, found in own}
+
+
+def test_ends_of_repeated_runs_go(spark, monkeypatch):
+    rng = random.Random(5)
+    line = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(n))
+    passages = [f"{line(30)}.\n{line(24)}.\n", "".join(f"{line(n)}.\n" for n in (3, 26, 5, 4, 40, 9, 9)), "".join(f"{line(7)}.\n" for _ in range(9))]
+    rows = [(i, f"{line(rng.randrange(1, 40))}.\n{rng.choice(passages)}{line(rng.randrange(1, 40))}.\n{rng.choice(passages)}{line(5)}.") for i in range(30)]
+    rows += [(100, "Few words. Here."), (101, "few words. here."), (102, "few words."), (103, rows[0][1]), (104, passages[0] + passages[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = every_run(rows)
+    assert want[101] == (0, 1) and not want[102] and len(want[103]) == len(sentences(rows[0][1]))
+    for frequent in (spans.FREQUENT, 3):
+        monkeypatch.setattr(spans, "FREQUENT", frequent)
+        assert {r["doc_id"]: listed(r["removed"]) for r in spans.report(df, ends=True).collect()} == want
+    assert {r["doc_id"]: r["text"] for r in spans.clean(df).collect()}[103] == ""
