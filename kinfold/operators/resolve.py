@@ -71,6 +71,19 @@ def replay(edges: pd.DataFrame) -> Iterator[tuple[str, int, int, dict]]:
         return x
 
     apart: list[tuple[int, int]] = []
+    foes: dict[int, set[int]] = {}  # for each root those that rulings keep apart from it
+
+    def join(i: int, j: int) -> None:
+        i, j = find(i), find(j)
+        if i == j:
+            return
+        up[j] = i
+        for x in foes.pop(j, ()):
+            foes[x].discard(j)
+            if x != i:
+                foes[x].add(i)
+                foes.setdefault(i, set()).add(x)
+
     told, checked = set(), False
     for e in edges.sort_values(["phase", "s1", "s2", "s3"], kind="stable").to_dict("records"):
         i, j = e["i"], e["j"]
@@ -78,18 +91,21 @@ def replay(edges: pd.DataFrame) -> Iterator[tuple[str, int, int, dict]]:
             checked = True
             yield from (("conflict", a, b, e) for a, b in apart if find(a) == find(b))
         if e["phase"] == STRONG or (e["phase"] == RULING and e["verdict"] == "same"):
-            up[find(j)] = find(i)
+            join(i, j)
         elif e["phase"] == RULING:
             if e["verdict"] == "different":
-                find(i), find(j)
                 apart.append((i, j))
+                a, b = find(i), find(j)
+                if a != b:
+                    foes.setdefault(a, set()).add(b)
+                    foes.setdefault(b, set()).add(a)
         else:
             pair = frozenset((find(i), find(j)))
-            # the roots of ruled pairs are looked up now: what is one person changes as names are joined
-            if len(pair) == 1 or any(frozenset((find(a), find(b))) == pair for a, b in apart):
+            # the roots of ruled pairs are those of now: what is one person changes as names are joined
+            if len(pair) == 1 or find(j) in foes.get(find(i), ()):
                 continue
             if e["phase"] == NAMES and e["sure"]:
-                up[find(j)] = find(i)
+                join(i, j)
             elif pair not in told:
                 told.add(pair)
                 yield "candidate", i, j, e

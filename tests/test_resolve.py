@@ -175,3 +175,37 @@ def test_empty_index(spark):
     empty = records(spark, [{}]).limit(0)
     people, candidates, _ = build_index(empty, spark.createDataFrame([], DECISION), spark.createDataFrame([], ENRICHMENT), spark.createDataFrame([], ATTESTED))
     assert people.count() == 0 and candidates.count() == 0
+
+
+def test_query_takes_every_order_as_a_ruling(spark):
+    """The query's groups are those of a replay of all rulings, then all name pairs, over sets of parts."""
+    from kinfold.operators.resolve import name_pairs
+    from kinfold.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    records = catalogue.part_records(spark, sf)
+    ords = {r["key"]: r["ord"] for r in records.select("key", "ord").collect()}
+    group, apart, met = {o: {o} for o in ords.values()}, [], 0
+
+    def together(i, j):
+        joined = group[i] | group[j]
+        for x in joined:
+            group[x] = joined
+
+    for o in sorted(spark.read.parquet(f"{sf}/orders.parquet").collect(), key=lambda o: o["o_orderkey"]):
+        i, j = ords.get(f"part:{o['o_custkey']}"), ords.get(f"part:{o['o_custkey'] + 4}")
+        if i is None or j is None:
+            continue
+        if o["o_orderstatus"] == "F":
+            together(i, j)
+        else:
+            apart.append((i, j))
+    extra = records.selectExpr("*", *(f"cast(array() as array<string>) as {c}" for c in ("emails", "phones", "urls")), "cast(map() as map<string,string>) as handles", "cast(null as string) as did")
+    for e in sorted(name_pairs(extra).collect(), key=lambda e: (e["block"], e["i"], e["j"])):
+        a, b = group[e["i"]], group[e["j"]]
+        if e["sure"] and a is not b and not any((x in a and y in b) or (y in a and x in b) for x, y in apart):
+            together(e["i"], e["j"])
+    met = sum(group[i] is group[j] for i, j in apart)
+    assert met > 50 and max(map(len, group.values())) > 20
+    got = {r["ord"]: r["root"] for r in catalogue.QUERIES["resolve_with_rulings"](spark, sf).collect()}
+    assert got == {o: min(g) for o, g in group.items()}
