@@ -4,7 +4,9 @@ Each source's documents are dealt by a hash of their ids into permuted blocks.
 A source whose target is below its size draws part of its blocks, in permuted
 order, one above its size draws all of them once and part of them again; the
 last block is cut at the document where the target is reached, and single
-documents close what gap is left where it is large. No block is drawn twice in a round, so no
+documents close what gap is left where it is large, and where that is not
+enough, what is left of the source is gone through in permuted order, without
+the documents that do not fit, until the gap is small or none fits. No block is drawn twice in a round, so no
 document is taken more than twice.
 
 The draws go to output shards down a binary tree. A node has the number of
@@ -23,6 +25,7 @@ and not of documents.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +40,7 @@ MOST = 2
 #: Blocks of a source at most, and documents of a block at least on average.
 BLOCKS = 4096
 PER_BLOCK = 16
-#: Gaps to a target above this share of its source are closed with single documents, this many at most.
+#: Gaps to a target above this share of its source are closed with single documents, this many at most, then with runs of documents.
 NEAR, PICKS = 0.002, 10
 #: Words of an output shard, and levels of the tree at most.
 SHARD_WORDS = 4_000_000
@@ -104,9 +107,10 @@ def draws_of(units: DataFrame, goals: DataFrame) -> DataFrame:
     taken = inside.where("upto <= rest").groupBy("source", "block").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.first("full").alias("full"))
     cut = taken.select("source", "block", "low", "high", (F.col("full") + 1).alias("round"))
     drawn = written(whole.unionByName(part).unionByName(cut), "draws")
-    # single units close the gap: each time the unit not taken in that round whose size is nearest to it
+    # single units close the gap: each time the unit not taken in that round whose size is nearest to it;
+    # after PICKS of them, each time those that fit in permuted order, up to the first that overshoots: it does not fit the next time
     whole_size = goals.select("source", "source_size")
-    for _ in range(PICKS):
+    for k in count():
         sums = _taken(units, drawn).groupBy("source").agg(F.sum("size").alias("got"))
         gap = goals.join(sums, goals["source"].eqNullSafe(sums["source"]), "left").select(goals["source"], "full", "rest", F.coalesce("got", F.lit(0)).alias("got"))
         gap = _with_source(gap, whole_size).withColumn("gap", F.col("rest") + F.col("full") * F.col("source_size") - F.col("got"))
@@ -115,9 +119,17 @@ def draws_of(units: DataFrame, goals: DataFrame) -> DataFrame:
             break
         used = _with_source(drawn, gap).where(F.col("round") == F.col("full") + 1).select("source", "block", "low", "high")
         free = _with_source(units, gap).alias("u").join(used.alias("d"), F.expr("u.source <=> d.source and u.block = d.block and u.h between d.low and d.high"), "left_anti")
-        unit = F.struct("block", "h", (F.col("full") + 1).alias("round"))
-        best = free.where("size > 0 and size < 2 * gap").groupBy("source").agg(F.min_by(unit, F.struct(F.abs(F.col("size") - F.col("gap")), "h")).alias("x"))
-        picks = written(best.select("source", "x.block", F.col("x.h").alias("low"), F.col("x.h").alias("high"), "x.round"), "picks")
+        if k < PICKS:
+            unit = F.struct("block", "h", (F.col("full") + 1).alias("round"))
+            best = free.where("size > 0 and size < 2 * gap").groupBy("source").agg(F.min_by(unit, F.struct(F.abs(F.col("size") - F.col("gap")), "h")).alias("x"))
+            found = best.select("source", "x.block", "x.h", "x.round")
+        else:
+            fits = written(free.where("size > 0 and size <= gap"), "fits")
+            each = fits.groupBy("source", "block").agg(F.sum("size").alias("size"), F.first("gap").alias("gap"))
+            open_ = each.withColumn("before", F.sum("size").over(order) - F.col("size")).where("before < gap").select("source", "block", (F.col("gap") - F.col("before")).alias("rest"))
+            upto = F.sum("size").over(W.partitionBy("source", "block").orderBy("h"))
+            found = _with_source(fits, open_, "block").withColumn("upto", upto).where("upto <= rest").select("source", "block", "h", (F.col("full") + 1).alias("round"))
+        picks = written(found.select("source", "block", F.col("h").alias("low"), F.col("h").alias("high"), "round"), "picks")
         if not picks.limit(1).count():
             break
         drawn = drawn.unionByName(picks)

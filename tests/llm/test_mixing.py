@@ -82,3 +82,21 @@ def test_hypergeometric_inverts_the_distribution(spark):
         assert abs(r["count"] / n - want) < 2 / n
     assert spark.sql(f"select {mixing._hypergeometric('5', '5', '3', '0.4D')} as k").first()["k"] == 3
     assert spark.sql(f"select {mixing._hypergeometric('5', '0', '3', '0.4D')} as k").first()["k"] == 0
+
+
+def test_gap_of_one_very_long_document_is_closed(spark):
+    rng = np.random.default_rng(0)
+    units = []
+    for source in "abcdefghijkl":
+        h = np.sort(rng.choice(1 << 40, 1001, replace=False)).tolist()
+        long = int(rng.integers(1001))
+        units += [(source, x, i // 16, 200_000 if i == long else 200) for i, x in enumerate(h)]
+    units = spark.createDataFrame(units, "source string, h long, block long, size long")
+    goals = spark.createDataFrame([(s, 400_000, 1001, 80_000.0) for s in "abcdefghijkl"], "source string, source_size long, n long, target double")
+    draws = mixing.draws_of(units, goals)
+    rows = mixing._taken(units, draws).collect()
+    assert len({(r["source"], r["h"]) for r in rows}) == len(rows)
+    got = defaultdict(int)
+    for r in rows:
+        got[r["source"]] += r["size"]
+    assert all(79_000 <= got[s] <= 80_000 for s in "abcdefghijkl"), got
