@@ -5,49 +5,57 @@ deferred collisions, then similar names. Similar names are decided greedily, so
 that a ruling "different" keeps whole people apart whatever joined them before.
 Everything that can touch each other is one component of the graph of all
 edges; components are found by the cluster, and inside each a small kernel
-replays the decisions in order, on edges only. Records without an edge never
-get there.
+replays the decisions in order. Names are compared once for each pair of
+distinct names; records of one name are tied by a star, and the kernel meets
+groups of records and kinds of record, so no table of record pairs is made
+anywhere. Records that nothing ties to another never get there.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kinfold.functions.names import EMPLOYER_WORDS, field_tokens, match_tokens, normalize_name, tokens_of
 from kinfold.operators.components import connected_components
 from kinfold.operators.identifiers import star_edges
+from kinfold.session import written
 
 MAYBE, SURE = 0.8, 0.9
-STRONG, RULING, DEFERRED, NAMES = range(4)
+STRONG, RULING, DEFERRED, NAMES, MATCH = range(5)
 
 
-def name_pairs(records: DataFrame) -> DataFrame:
-    """``(i, j, block, score, sure, exact)``: pairs of records of different sources whose names match at least ``MAYBE``.
+def _named(records: DataFrame) -> DataFrame:
+    """``(ord, source, employer, norm, last)`` of the records that have a name."""
+    rows = records.select("ord", "source", "employer", normalize_name(F.col("name")).alias("norm")).where("norm <> ''")
+    return rows.withColumn("last", F.substring_index("norm", " ", -1))
+
 
-    Distinct names are compared once, within those that share the last token;
-    ``block`` is the first record that has the token.
+def near_names(names: DataFrame) -> DataFrame:
+    """``(na, nb, score, n)``: ordered pairs of distinct ``names(norm, last)`` that match at least ``MAYBE``, each with itself too; ``n`` tokens in ``na``.
+
+    Names of one last token match so well only if another token of one begins
+    like some token of the other: like another token of it, by which they are
+    joined, or like the last token, which few names do.
     """
-    rows = records.select("ord", "source", "employer", normalize_name(F.col("name")).alias("norm")).where("norm <> ''")
-    rows = rows.withColumn("last", F.substring_index("norm", " ", -1))
-    names = rows.select("norm", "last").distinct().withColumn("tokens", tokens_of(F.col("norm")))
-    a, b = names.select("last", F.col("norm").alias("na"), F.col("tokens").alias("ta")), names.select("last", F.col("norm").alias("nb"), F.col("tokens").alias("tb"))
-    near = a.join(b, "last").withColumn("score", match_tokens(F.col("ta"), F.col("tb"))).where(F.col("score") >= MAYBE).select("na", "nb", "score", F.size("ta").alias("n"))
-    once = rows.groupBy("source", "norm").agg((F.count("*") == 1).alias("once"))
-    blocks = rows.groupBy("last").agg(F.min("ord").alias("block"))
-    full = rows.join(once, ["source", "norm"]).withColumn("tokens", field_tokens(F.col("employer"), EMPLOYER_WORDS))
-    full = full.withColumn("has", F.coalesce("employer", F.lit("")) != "")
-    left = full.join(blocks, "last").select("block", *(F.col(c).alias(f"{c}_i") for c in ("ord", "source", "norm", "once", "tokens", "has")))
-    right = full.select(*(F.col(c).alias(f"{c}_j") for c in ("ord", "source", "norm", "once", "tokens", "has")))
-    pairs = left.join(near, F.col("norm_i") == F.col("na")).join(right, F.col("norm_j") == F.col("nb")).where("ord_i < ord_j and source_i <> source_j")
-    overlap = F.arrays_overlap("tokens_i", "tokens_j")
-    conflict = F.col("has_i") & F.col("has_j") & ~overlap
-    exact = (F.col("score") == 1) & (F.col("n") >= 2) & F.col("once_i") & F.col("once_j") & ~conflict
-    return pairs.select(F.col("ord_i").alias("i"), F.col("ord_j").alias("j"), "block", "score", ((F.col("score") >= SURE) & overlap).alias("sure"), exact.alias("exact"))
+    rows = names.select("norm", "last").distinct().withColumn("tokens", tokens_of(F.col("norm")))
+    others = F.transform(F.slice("tokens", F.lit(1), F.size("tokens") - 1), lambda t: F.substring(t, 1, 1))
+    rows = rows.withColumn("letters", F.array_distinct(others))
+    side = lambda df, x: df.select(F.col("last"), *(F.col(c).alias(f"{c}_{x}") for c in ("norm", "tokens")), *(["letter"] if "letter" in df.columns else []))
+    by_letter = rows.withColumn("letter", F.explode("letters"))
+    odd = rows.where(F.array_contains("letters", F.substring("last", 1, 1)))
+    met = side(by_letter, "a").join(side(by_letter, "b"), ["last", "letter"]).drop("letter")
+    met = met.unionByName(side(odd, "a").join(side(rows, "b"), "last")).unionByName(side(rows, "a").join(side(odd, "b"), "last"))
+    scored = met.where("norm_a <> norm_b").withColumn("score", match_tokens(F.col("tokens_a"), F.col("tokens_b"))).where(F.col("score") >= MAYBE)
+    own = rows.select(F.col("norm").alias("na"), F.col("norm").alias("nb"), F.lit(1.0).alias("score"), F.size("tokens").alias("n"))
+    return scored.select(F.col("norm_a").alias("na"), F.col("norm_b").alias("nb"), "score", F.size("tokens_a").alias("n")).distinct().unionByName(own)
 
 
 def ruling_edges(records: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,60 +67,135 @@ def ruling_edges(records: DataFrame, decisions: DataFrame) -> tuple[DataFrame, D
     return joined.where(known).select("pos", "i", "j", "verdict"), joined.where(~known).select("pos", "key_a", "key_b")
 
 
-def replay(edges: pd.DataFrame) -> Iterator[tuple[str, int, int, dict]]:
-    """Decide one component's ``edges`` in order: ``(kind, i, j, edge)`` of groups, candidates and conflicts."""
-    up: dict[int, int] = {}
+class Member(NamedTuple):
+    """A record as the pass over similar names sees it; records that differ in ``ord`` alone are alike to all others."""
+
+    block: int
+    ord: int
+    source: str
+    name: str
+    tokens: frozenset
+    has: bool
+    once: bool
+
+    @property
+    def kind(self) -> tuple:
+        return self[2:]
 
-    def find(x: int) -> int:
+
+class People:
+    """The groups of one component, and which of them rulings keep apart."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.foes: dict[int, set[int]] = {}  # for each root those that rulings keep apart from it
+
+    def find(self, x: int) -> int:
+        up = self.up
         up.setdefault(x, x)
         while up[x] != x:
             up[x] = up[up[x]]
             x = up[x]
         return x
 
-    apart: list[tuple[int, int]] = []
-    foes: dict[int, set[int]] = {}  # for each root those that rulings keep apart from it
-
-    def join(i: int, j: int) -> None:
-        i, j = find(i), find(j)
+    def join(self, i: int, j: int) -> None:
+        i, j = self.find(i), self.find(j)
         if i == j:
             return
-        up[j] = i
-        for x in foes.pop(j, ()):
-            foes[x].discard(j)
+        self.up[j] = i
+        for x in self.foes.pop(j, ()):
+            self.foes[x].discard(j)
             if x != i:
-                foes[x].add(i)
-                foes.setdefault(i, set()).add(x)
-
-    told, checked = set(), False
-    for e in edges.sort_values(["phase", "s1", "s2", "s3"], kind="stable").to_dict("records"):
-        i, j = e["i"], e["j"]
-        if e["phase"] >= DEFERRED and not checked:
-            checked = True
-            yield from (("conflict", a, b, e) for a, b in apart if find(a) == find(b))
-        if e["phase"] == STRONG or (e["phase"] == RULING and e["verdict"] == "same"):
-            join(i, j)
-        elif e["phase"] == RULING:
-            if e["verdict"] == "different":
-                apart.append((i, j))
-                a, b = find(i), find(j)
-                if a != b:
-                    foes.setdefault(a, set()).add(b)
-                    foes.setdefault(b, set()).add(a)
-        else:
-            pair = frozenset((find(i), find(j)))
+                self.foes[x].add(i)
+                self.foes.setdefault(i, set()).add(x)
+
+    def part(self, i: int, j: int) -> None:
+        i, j = self.find(i), self.find(j)
+        if i != j:
+            self.foes.setdefault(i, set()).add(j)
+            self.foes.setdefault(j, set()).add(i)
+
+    def apart(self, i: int, j: int) -> bool:
+        return self.find(j) in self.foes.get(self.find(i), ())
+
+
+def similar(people: People, told: set, members: list[Member], near: dict[tuple[str, str], tuple[float, int]]) -> Iterator[tuple]:
+    """Join the similar names of one block, record by record, and tell the candidates: ``(i, j, score, exact)``.
+
+    What a record meets in a group is decided by the first later record of each
+    kind there, so groups are met and not records, and a record is passed over
+    when one of its kind and group has met all that it could meet.
+    """
+    relations: dict[tuple, tuple | None] = {}
+
+    def relation(a: tuple, b: tuple) -> tuple | None:
+        if (a, b) not in relations:
+            found = near.get((a[1], b[1])) if a[0] != b[0] else None
+            if found:
+                score, n = found
+                shared = not a[2].isdisjoint(b[2])
+                found = score >= SURE and shared, score, score == 1 and n >= 2 and a[4] and b[4] and (shared or not (a[3] and b[3]))
+            relations[a, b] = found
+        return relations[a, b]
+
+    held: dict[int, dict[tuple, list[int]]] = {}
+    for m in members:
+        held.setdefault(people.find(m.ord), {}).setdefault(m.kind, []).append(m.ord)
+    joins, met = 0, {}
+    for m in members:
+        i, kind = m.ord, m.kind
+        own = people.find(i)
+        if met.get((kind, own)) == joins:
+            continue
+        events = []
+        for root, kinds in held.items():
+            if root == own:
+                continue
+            first: dict[bool, tuple] = {}  # the first later record that joins, and the first that may
+            for other, ords in kinds.items():
+                rel = relation(kind, other)
+                if rel and (at := bisect_right(ords, i)) < len(ords) and (rel[0] not in first or ords[at] < first[rel[0]][0]):
+                    first[rel[0]] = ords[at], root, rel
+            events += first.values()
+        for j, root, (sure, score, exact) in sorted(events):
             # the roots of ruled pairs are those of now: what is one person changes as names are joined
-            if len(pair) == 1 or find(j) in foes.get(find(i), ()):
+            if people.find(j) == own or people.apart(i, j):
                 continue
-            if e["phase"] == NAMES and e["sure"]:
-                join(i, j)
-            elif pair not in told:
+            if sure:
+                people.join(i, j)
+                joins += 1
+                for other, ords in held.pop(root).items():
+                    held[own][other] = sorted(held[own].get(other, []) + ords)
+            elif (pair := frozenset((own, root))) not in told:
                 told.add(pair)
-                yield "candidate", i, j, e
-    if not checked:
-        yield from (("conflict", a, b, {}) for a, b in apart if find(a) == find(b))
-    for x in sorted(up):
-        yield "group", x, find(x), {}
+                yield i, j, score, exact
+        met[kind, own] = joins
+
+
+def replay(edges: list[dict], members: list[Member], near: dict[tuple[str, str], tuple[float, int]]) -> Iterator[tuple[str, int, int, dict]]:
+    """Decide one component in order: ``(kind, i, j, edge)`` of groups, candidates and conflicts."""
+    people, ruled, told = People(), [], set()
+    edges = sorted(edges, key=lambda e: (e["phase"], e["s1"], e["s2"], e["s3"]))
+    for e in edges:
+        if e["phase"] == STRONG or (e["phase"] == RULING and e["verdict"] == "same"):
+            people.join(e["i"], e["j"])
+        elif e["phase"] == RULING and e["verdict"] == "different":
+            ruled.append((e["i"], e["j"]))
+    for i, j in ruled:
+        people.part(i, j)
+        if people.find(i) == people.find(j):
+            yield "conflict", i, j, {}
+    for e in edges:
+        if e["phase"] == DEFERRED:
+            i, j = people.find(e["i"]), people.find(e["j"])
+            if i != j and not people.apart(i, j) and (pair := frozenset((i, j))) not in told:
+                told.add(pair)
+                yield "candidate", e["i"], e["j"], e
+    for block, rows in groupby(sorted(members), key=lambda m: m.block):
+        for i, j, score, exact in similar(people, told, list(rows), near):
+            yield "candidate", i, j, {"phase": NAMES, "s1": block, "s2": i, "s3": j, "score": score, "exact": exact}
+    for x in sorted({*people.up, *(m.ord for m in members)}):
+        yield "group", x, people.find(x), {}
 
 
 def resolve(records: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -124,29 +207,49 @@ def resolve(records: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFr
     """
     star = star_edges(records)
     zero = F.lit(0).cast("long")
-    null = lambda kind: F.lit(None).cast(kind)
-    strong = star.select(
-        F.when(F.col("kind") == "deferred", DEFERRED).otherwise(STRONG).alias("phase"), F.col("ord").alias("s1"), F.col("rank").cast("long").alias("s2"), F.col("at").cast("long").alias("s3"),
-        F.col("holder").alias("i"), F.col("ord").alias("j"), F.lit(0.0).alias("score"), F.lit(False).alias("sure"), F.lit(False).alias("exact"), "type", "value", null("string").alias("verdict"),
-    )
+    empty = {"score": "double", "type": "string", "value": "string", "verdict": "string", "source": "string", "name": "string", "other": "string", "tokens": "array<string>", "has": "boolean", "once": "boolean", "n": "int"}
+
+    def shaped(df: DataFrame, phase: Column, **values: Column) -> DataFrame:
+        order = {"s1": zero, "s2": zero, "s3": zero, "i": zero, "j": zero}
+        return df.select(phase.cast("int").alias("phase"), *(values.get(c, v).cast("long").alias(c) for c, v in order.items()), *(values.get(c, F.lit(None)).cast(k).alias(c) for c, k in empty.items()))
+
+    col = F.col
+    strong = shaped(star, F.when(col("kind") == "deferred", DEFERRED).otherwise(STRONG), s1=col("ord"), s2=col("rank"), s3=col("at"), i=col("holder"), j=col("ord"), score=F.lit(0.0), type=col("type"), value=col("value"))
     rulings, unknown = ruling_edges(records, decisions)
-    ruled = rulings.select(F.lit(RULING).alias("phase"), F.col("pos").cast("long").alias("s1"), zero.alias("s2"), zero.alias("s3"), "i", "j", F.lit(0.0).alias("score"), F.lit(False).alias("sure"), F.lit(False).alias("exact"), null("string").alias("type"), null("string").alias("value"), "verdict")
-    names = name_pairs(records).select(F.lit(NAMES).alias("phase"), F.col("block").alias("s1"), F.col("i").alias("s2"), F.col("j").alias("s3"), "i", "j", "score", "sure", "exact", null("string").alias("type"), null("string").alias("value"), null("string").alias("verdict"))
-    edges = strong.unionByName(ruled).unionByName(names)
-    joins = edges.where("verdict is null or verdict <> 'different'")
-    found = connected_components(joins, "i", "j")
-    of = found.withColumnsRenamed({"id": "v", "component": "ci"})
+    ruled = shaped(rulings, F.lit(RULING), s1=col("pos"), i=col("i"), j=col("j"), verdict=col("verdict"))
+    rows = written(_named(records), "named")
+    near = written(near_names(rows), "near")
+    first = rows.groupBy("norm").agg(F.min("ord").alias("first"))
+    blocks = rows.groupBy("last").agg(F.min("ord").alias("block"))
+    once = rows.groupBy("source", "norm").agg((F.count("*") == 1).alias("once"))
+    # a star for each name and an edge for each pair of names: never pairs of records
+    stars = rows.join(first, "norm").where("ord <> first").select(col("first").alias("i"), col("ord").alias("j"))
+    ends = first.withColumnsRenamed({"norm": "na", "first": "i"}), first.withColumnsRenamed({"norm": "nb", "first": "j"})
+    links = near.where("na <> nb").join(ends[0], "na").join(ends[1], "nb").select("i", "j")
+    edges = strong.unionByName(ruled)
+    joins = edges.where("verdict is null or verdict = 'same'").select("i", "j").unionByName(stars).unionByName(links)
+    found = written(connected_components(joins, "i", "j"), "components")
+    ends = found.withColumnsRenamed({"id": "i", "component": "ci"}), found.withColumnsRenamed({"id": "j", "component": "cj"})
     # a ruling "different" matters only where both ends can meet
-    placed = edges.join(of, edges["i"] == of["v"], "left").drop("v").join(found.withColumnsRenamed({"id": "v", "component": "cj"}), F.col("j") == F.col("v"), "left").drop("v").where("ci = cj")
+    placed = edges.join(ends[0], "i").join(ends[1], "j").where("ci = cj").drop("cj")
+    tokens = field_tokens(col("employer"), EMPLOYER_WORDS)
+    members = rows.join(blocks, "last").join(once, ["source", "norm"]).join(ends[0].withColumnRenamed("i", "ord"), "ord").withColumn("has", F.coalesce("employer", F.lit("")) != "")
+    held = shaped(members.withColumn("c", col("ci")), F.lit(NAMES), s1=col("block"), i=col("ord"), source=col("source"), name=col("norm"), tokens=tokens, has=col("has"), once=col("once"), j=col("ci")).withColumn("ci", col("j"))
+    of_names = near.join(first.withColumnRenamed("norm", "na"), "na").join(ends[0].withColumnRenamed("i", "first"), "first")
+    matched = shaped(of_names, F.lit(MATCH), name=col("na"), other=col("nb"), score=col("score"), n=col("n"), j=col("ci")).withColumn("ci", col("j"))
 
-    def kernel(edges: pd.DataFrame) -> pd.DataFrame:
-        rows = [
-            (kind, i, j, e.get("s1"), e.get("s2"), e.get("s3"), e.get("phase"), e.get("score"), e.get("exact"), e.get("type"), e.get("value"))
-            for kind, i, j, e in replay(edges)
-        ]
-        return pd.DataFrame(rows, columns=["kind", "i", "j", "s1", "s2", "s3", "phase", "score", "exact", "type", "value"])
+    def kernel(part: pd.DataFrame) -> pd.DataFrame:
+        own = part[part["phase"] == NAMES]
+        people = [Member(*m[:4], frozenset(m[4]), *m[5:]) for m in zip(own["s1"], own["i"], own["source"], own["name"], own["tokens"], own["has"], own["once"], strict=True)]
+        same = part[part["phase"] == MATCH]
+        near = {(a, b): (s, int(n)) for a, b, s, n in zip(same["name"], same["other"], same["score"], same["n"], strict=True)}
+        told = replay(part[part["phase"] < NAMES].to_dict("records"), people, near)
+        out = [(kind, i, j, e.get("s1"), e.get("s2"), e.get("s3"), e.get("phase"), e.get("score"), e.get("exact", False), e.get("type"), e.get("value")) for kind, i, j, e in told]
+        return pd.DataFrame(out, columns=["kind", "i", "j", "s1", "s2", "s3", "phase", "score", "exact", "type", "value"])
 
-    out = placed.groupBy("ci").applyInPandas(kernel, "kind string, i long, j long, s1 long, s2 long, s3 long, phase int, score double, exact boolean, type string, value string")
+    whole = placed.unionByName(held).unionByName(matched)
+    out = whole.groupBy("ci").applyInPandas(kernel, "kind string, i long, j long, s1 long, s2 long, s3 long, phase int, score double, exact boolean, type string, value string")
+    out = written(out, "decided")
     in_groups = out.where("kind = 'group'").select(F.col("i").alias("ord"), F.col("j").alias("member"))
     first = in_groups.groupBy("member").agg(F.min("ord").alias("root"))
     groups = records.select("ord").join(in_groups.join(first, "member").select("ord", "root"), "ord", "left").select("ord", F.coalesce("root", "ord").alias("root"))

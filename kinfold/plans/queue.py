@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kinfold.functions.text import LIMIT_HIT, clean, is_key_shaped, is_public_url, linkedin_answer_key, present, text
-from kinfold.functions.validate import answer, is_non_answer, json_block
+from kinfold.functions.validate import answer, computed, is_non_answer, json_block
 
 GROUP, CUE_GROUP, CUE_LIMIT, LIMIT_CODE = 4, 8, 400, 75
 REAL_NAMES = ("linkedin", "google-contacts", "gmail", "phone", "vcard", "manual")
@@ -146,13 +146,12 @@ def answers_of(units: DataFrame) -> DataFrame:
     a number that is given twice counts for nobody, and an answer with another
     profile than its member's is dropped.
     """
-    v = json_block(F.col("output"))
-    rows = units.select("unit", "members", v.alias("v"))
+    rows = computed(units, "v", json_block(F.col("output"))).select("unit", "members", "v")
     each = rows.select("unit", F.size("members").alias("c"), "v", F.posexplode("members").alias("at", "m"))
-    single = each.where("c = 1").select("unit", F.col("m.key").alias("key"), answer(F.col("v")).alias("result"))
+    single = computed(each.where("c = 1"), "result", answer(F.col("v"))).select("unit", F.col("m.key").alias("key"), "result")
     many = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$.results", "array<variant>"))
     given = rows.where(F.size("members") > 1).select("unit", F.explode(many).alias("x"))
-    given = given.select("unit", F.try_variant_get("x", "$.n", "double").alias("n"), answer(F.col("x")).alias("a")).where("n = floor(n)")
+    given = computed(given.select("unit", "x", F.try_variant_get("x", "$.n", "double").alias("n")).where("n = floor(n)"), "a", answer(F.col("x")))
     once = given.groupBy("unit", "n").agg(F.count("*").alias("times"), F.first("a").alias("a")).where("times = 1")
     joined = each.where("c > 1").join(once.withColumnRenamed("unit", "u"), (F.col("unit") == F.col("u")) & (F.col("n") == F.col("at") + 1), "left")
     want, got = linkedin_answer_key(F.col("m.linkedinUrl")), linkedin_answer_key(F.col("a.linkedinUrl"))

@@ -1,14 +1,16 @@
 """Resolution and fold, case by case."""
 
 import random
+import time
+from collections import Counter
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from kinfold.functions.names import name_match
 from kinfold.operators.fold import fold
 from kinfold.operators.ids import assign_ids
-from kinfold.operators.resolve import replay, resolve
+from kinfold.operators.resolve import Member, near_names, replay, resolve
 from kinfold.plans.build import build_index
 from kinfold.schema import ATTESTED, DECISION, ENRICHMENT, RECORD
 
@@ -68,38 +70,84 @@ def test_star_edges_depend_on_order(spark):
     assert groups == [[0], [1], [2]] and len(candidates) == 2
 
 
-def sequential(edges):
-    """All edges at once, with sets of people instead of a forest of roots."""
-    n = 12
-    group = {i: {i} for i in range(n)}
-    apart = []
-    for e in sorted(edges, key=lambda e: (e["phase"], e["s1"], e["s2"], e["s3"])):
-        i, j = e["i"], e["j"]
-        together = e["phase"] == 0 or (e["phase"] == 1 and e["verdict"] == "same")
-        if e["phase"] == 1 and e["verdict"] == "different":
-            apart.append((i, j))
-        if e["phase"] == 3 and e["sure"] and group[i] is not group[j]:
-            together = not any((a in group[i] and b in group[j]) or (b in group[i] and a in group[j]) for a, b in apart)
-        if together and group[i] is not group[j]:
-            joined = group[i] | group[j]
-            for x in joined:
+def sequential(edges, members, near):
+    """The same decisions pair by pair, with sets of people instead of a forest, and ids of people that change as theirs do."""
+    group = {m.ord: [m.ord, {m.ord}] for m in members}
+    apart, told, out = [], set(), []
+
+    def blocked(i, j):
+        return any((a in group[i][1] and b in group[j][1]) or (b in group[i][1] and a in group[j][1]) for a, b in apart)
+
+    def join(i, j):
+        if group[i] is not group[j]:
+            joined = [group[i][0], group[i][1] | group[j][1]]
+            for x in joined[1]:
                 group[x] = joined
-    return {frozenset(g) for g in group.values() if len(g) > 1}
+
+    def tell(i, j, *more):
+        pair = frozenset((group[i][0], group[j][0]))
+        if pair not in told:
+            told.add(pair)
+            out.append((i, j, *more))
+
+    edges = sorted(edges, key=lambda e: (e["phase"], e["s1"], e["s2"], e["s3"]))
+    for e in edges:
+        if e["phase"] == 0 or (e["phase"] == 1 and e["verdict"] == "same"):
+            join(e["i"], e["j"])
+        elif e["phase"] == 1:
+            apart.append((e["i"], e["j"]))
+    for e in edges:
+        if e["phase"] == 2 and group[e["i"]] is not group[e["j"]] and not blocked(e["i"], e["j"]):
+            tell(e["i"], e["j"], 0.0, False)
+    members = sorted(members)
+    for x, a in enumerate(members):
+        for b in members[x + 1 :]:
+            if a.block != b.block or a.source == b.source or group[a.ord] is group[b.ord] or blocked(a.ord, b.ord) or (a.name, b.name) not in near:
+                continue
+            score, n = near[a.name, b.name]
+            if score >= 0.9 and a.tokens & b.tokens:
+                join(a.ord, b.ord)
+            else:
+                tell(a.ord, b.ord, score, score == 1 and n >= 2 and a.once and b.once and (not (a.has and b.has) or bool(a.tokens & b.tokens)))
+    return {frozenset(g[1]) for g in group.values()}, out
 
 
 def test_kernel_equals_a_plain_replay():
     rng = random.Random(1)
-    for _ in range(200):
+    for _ in range(400):
+        n = rng.randrange(2, 40)
+        near = {(a, b): (1.0 if a == b else rng.choice([0.82, 0.95]), 2) for a in "pqr" for b in "pqr" if a == b or rng.random() < 0.5}
+        # the block of a record is the first record of its last name
+        members = [Member(b, o, rng.choice("stu"), rng.choice("pqr"), frozenset(rng.sample("xyz", rng.randrange(3))), rng.random() < 0.7, rng.random() < 0.5) for o in range(n) for b in [0 if o % 3 else min(3, o)]]
         edges = []
-        for k in range(14):
-            i, j = sorted(rng.sample(range(12), 2))
-            phase = rng.randrange(4)
-            edges.append({"phase": phase, "s1": k, "s2": 0, "s3": 0, "i": i, "j": j, "score": 1.0, "sure": rng.random() < 0.7, "exact": False, "type": "email", "value": "v", "verdict": rng.choice(["same", "different"]) if phase == 1 else None})
-        got = {}
-        for kind, i, j, _ in replay(pd.DataFrame(edges)):
+        for k in range(rng.randrange(12)):
+            i, j = sorted(rng.sample(range(n), 2))
+            phase = rng.randrange(3)
+            edges.append({"phase": phase, "s1": k, "s2": 0, "s3": 0, "i": i, "j": j, "score": 0.0, "exact": False, "type": "email", "value": "v", "verdict": rng.choice(["same", "different"]) if phase == 1 else None})
+        got, told = {}, []
+        for kind, i, j, e in replay(edges, members, near):
             if kind == "group":
                 got.setdefault(j, set()).add(i)
-        assert {frozenset(g) for g in got.values() if len(g) > 1} == sequential(edges)
+            elif kind == "candidate":
+                told.append((i, j, e["score"], e["exact"]))
+        assert ({frozenset(g) for g in got.values()}, told) == sequential(edges, members, near)
+
+
+def test_near_names_equal_all_pairs(spark):
+    rng = random.Random(4)
+    parts = ["jo", "j", "s", "smith", "jon", "lee", "l", "stan"]
+    names = sorted({" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(150)})
+    rows = spark.createDataFrame([(x, x.split(" ")[-1]) for x in names], "norm string, last string")
+    pairs = rows.alias("a").join(rows.alias("b"), "last").select(F.col("a.norm").alias("na"), F.col("b.norm").alias("nb"), name_match(F.col("a.norm"), F.col("b.norm")).alias("s"))
+    want = {(r["na"], r["nb"], r["s"]) for r in pairs.where("s >= 0.8").collect()}
+    assert {(r["na"], r["nb"], r["score"]) for r in near_names(rows).collect()} == want and len(want) > len(names)
+
+
+def test_a_common_name_is_met_by_groups():
+    members = [Member(0, i, f"s{i % 3}", "ann lee", frozenset(["acme"]), True, False) for i in range(60_000)]
+    start = time.perf_counter()
+    found = list(replay([], members, {("ann lee", "ann lee"): (1.0, 2)}))
+    assert {f[2] for f in found} == {0} and time.perf_counter() - start < 60
 
 
 def one(spark, rows, enrichment=None, attested=None):
@@ -177,35 +225,28 @@ def test_empty_index(spark):
     assert people.count() == 0 and candidates.count() == 0
 
 
-def test_query_takes_every_order_as_a_ruling(spark):
-    """The query's groups are those of a replay of all rulings, then all name pairs, over sets of parts."""
-    from kinfold.operators.resolve import name_pairs
+def test_queries_take_every_order_as_a_ruling(spark):
+    """Groups and candidates are those of a replay of all rulings, then of all pairs of names."""
     from kinfold.plans import catalogue
 
     sf = "/root/testdata/sf0.001"
-    records = catalogue.part_records(spark, sf)
-    ords = {r["key"]: r["ord"] for r in records.select("key", "ord").collect()}
-    group, apart, met = {o: {o} for o in ords.values()}, [], 0
-
-    def together(i, j):
-        joined = group[i] | group[j]
-        for x in joined:
-            group[x] = joined
-
-    for o in sorted(spark.read.parquet(f"{sf}/orders.parquet").collect(), key=lambda o: o["o_orderkey"]):
+    rows = sorted(catalogue.part_records(spark, sf).collect(), key=lambda r: r["ord"])
+    ords, keys = {r["key"]: r["ord"] for r in rows}, {r["ord"]: r["key"] for r in rows}
+    edges = []
+    for o in spark.read.parquet(f"{sf}/orders.parquet").collect():
         i, j = ords.get(f"part:{o['o_custkey']}"), ords.get(f"part:{o['o_custkey'] + 4}")
-        if i is None or j is None:
-            continue
-        if o["o_orderstatus"] == "F":
-            together(i, j)
-        else:
-            apart.append((i, j))
-    extra = records.selectExpr("*", *(f"cast(array() as array<string>) as {c}" for c in ("emails", "phones", "urls")), "cast(map() as map<string,string>) as handles", "cast(null as string) as did")
-    for e in sorted(name_pairs(extra).collect(), key=lambda e: (e["block"], e["i"], e["j"])):
-        a, b = group[e["i"]], group[e["j"]]
-        if e["sure"] and a is not b and not any((x in a and y in b) or (y in a and x in b) for x, y in apart):
-            together(e["i"], e["j"])
-    met = sum(group[i] is group[j] for i, j in apart)
-    assert met > 50 and max(map(len, group.values())) > 20
+        if i is not None and j is not None:
+            edges.append({"phase": 1, "s1": o["o_orderkey"], "s2": 0, "s3": 0, "i": i, "j": j, "verdict": "same" if o["o_orderstatus"] == "F" else "different"})
+    block, names, times = {}, {r["name"] for r in rows}, Counter((r["source"], r["name"]) for r in rows)
+    for r in rows:
+        block.setdefault(r["name"].split()[-1], r["ord"])
+    # all brands share a token
+    members = [Member(block[r["name"].split()[-1]], r["ord"], r["source"], r["name"], frozenset(["brand"]), True, times[r["source"], r["name"]] == 1) for r in rows]
+    named = spark.createDataFrame([(x, x.split()[-1]) for x in names], "norm string, last string")
+    near = {(r["na"], r["nb"]): (r["score"], r["n"]) for r in near_names(named).collect()}
+    groups, candidates = sequential(edges, members, near)
+    assert max(map(len, groups)) > 20 and len(candidates) > 20
     got = {r["ord"]: r["root"] for r in catalogue.QUERIES["resolve_with_rulings"](spark, sf).collect()}
-    assert got == {o: min(g) for o, g in group.items()}
+    assert got == {o: min(g) for g in groups for o in g}
+    told = Counter((*r["keys"], r["score"], r["reason"]) for r in catalogue.QUERIES["resolution_candidates"](spark, sf).collect())
+    assert told == Counter((keys[i], keys[j], 1.0 if s == 1 else 0.82, "exact-name" if exact else "fuzzy") for i, j, s, exact in candidates)
