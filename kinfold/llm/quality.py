@@ -1,28 +1,36 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-The model is over characters, four in a row, of trusted text: documents
-labelled of good quality and not toxic, all of them and whole. Characters fall
-into 64 classes, so there are at most 64**4 different n-grams (16.8 million)
-whatever the corpus. (Over words the counts that scoring needs are as large as
-the corpus several times over; see the README.)
+The model is over characters as they are, ``ORDER`` in a row, runs of white
+space being one space, of trusted text: documents labelled of good quality and
+not toxic, whole, but for one in ``FOLDS`` of them by a hash of the id, on which
+the thresholds are set. The number of n-grams has no bound and grows with the
+corpus.
 
 Training counts n-grams in the tasks, then by shards of the n-gram; counts of
 continuations, of contexts and of counts are aggregations of that table, and
-joins between orders, sharded by context, give each seen n-gram its
-probability (Chen and Goodman 1999, three discounts an order). The result is
-bounded by the number of n-grams, 8 bytes each, and is broadcast.
+joins between orders, sharded by suffix and by context, give each seen n-gram
+its interpolated probability (Chen and Goodman 1999, three discounts an order)
+and each context the weight of its shorter ones.
+
+A model of at most ``MODEL_ROWS`` n-grams (16 bytes each) is broadcast to the
+tasks that score the texts. A larger one is not gathered anywhere: each
+document's distinct n-grams are counted and joined with the model by shards of
+the n-gram. There the logarithm of a probability is a sum of independent
+entries, one for each order's n-gram and one for each order's context, of which
+what the model has not seen adds nothing.
 
 A document's score is its mean negative log2 probability a character, drawn
-towards the mean of its language's trusted text as if ``PRIOR`` characters of
-it had been read, so a few odd characters do not condemn a short text. The
-threshold of a language is a quantile of its trusted documents' scores; one
-with fewer than ``LEAST`` of them takes the quantile over all languages.
+towards the mean of its language's held-out trusted text as if ``PRIOR``
+characters of it had been read, so a few odd characters do not condemn a short
+text. The threshold of a language is a quantile of its held-out trusted
+documents' scores; one with fewer than ``LEAST`` of them takes the quantile over
+all languages.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,84 +40,93 @@ from pyspark.sql.types import DoubleType, LongType, StructField
 from pyspark.sql.window import Window as W
 
 from kinfold.llm._frames import adding
-from kinfold.llm._words import pieces
+from kinfold.llm._words import U, mix, pieces
 from kinfold.session import written
 
-ORDER = 4
-CLASSES = 64
+ORDER = 5
+FOLDS = 5
 PRIOR = 200
 QUANTILE = 0.995
 LEAST = 50
 #: Scores are put in steps of this size for the quantiles.
 STEP = 1e-4
+#: N-grams that a task gathers before it passes them on, and bytes of text that are scored at once.
 GATHER = 4_000_000
+PIECE = 1 << 22
+#: N-grams of a model that is broadcast, at most: 128 MB.
+MODEL_ROWS = 8_000_000
 #: Trusted ids up to which they are broadcast (8 bytes each); beyond that the texts are shuffled by id.
 BROADCAST_IDS = 4_000_000
-PUNCTUATION = ".,;:!?'\"-()"
-
-
-@lru_cache(1)
-def _classes() -> np.ndarray:
-    """The class of each code point: 0 the edge, 1 white space, 2 digits, a-z, some signs, other letters by hash, other signs by hash."""
-    out = np.zeros(0x110000, np.int32)
-    for c in range(0x110000):
-        x = chr(c).lower()
-        if x.isspace():
-            out[c] = 1
-        elif x.isdecimal():
-            out[c] = 2
-        elif len(x) == 1 and "a" <= x <= "z":
-            out[c] = 3 + ord(x) - 97
-        elif len(x) == 1 and x in PUNCTUATION:
-            out[c] = 29 + PUNCTUATION.index(x)
-        elif x[0].isalpha():
-            out[c] = 40 + ord(x[0]) % 16
-        else:
-            out[c] = 56 + c % 8
-    return out
-
-
-def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``(n-grams, characters of each text)``: one n-gram a character, edges before the first; white space runs are one."""
-    parts = [t or "" for t in texts.to_pylist()]
-    pad = "\0" * (ORDER - 1)
-    joined = pad + pad.join(parts)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    cls = _classes()[points]
-    owner = np.repeat(np.arange(len(parts)), sizes + ORDER - 1)
-    start = np.cumsum(sizes + ORDER - 1) - sizes - (ORDER - 1)
-    edge = np.zeros(len(points), bool)
-    for i in range(ORDER - 1):
-        edge[start + i] = True
-    cls = np.where(edge, 0, np.where(cls == 0, 56, cls))
-    keep = np.append(True, (cls[1:] != 1) | (cls[:-1] != 1)) if len(cls) else np.zeros(0, bool)
-    cls, owner, edge = cls[keep], owner[keep], edge[keep]
-    gram = cls.copy()
-    for i in range(1, ORDER):
-        gram[i:] += cls[:-i] * CLASSES**i
-    real = ~edge
-    return gram[real], np.bincount(owner[real], minlength=len(parts))
+SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
+
+
+class Chars:
+    """The characters of some texts, each text behind ``ORDER - 1`` edge signs.
+
+    ``at``: the place of each character in ``points``; ``owner``: its text.
+    """
+
+    def __init__(self, texts: pa.Array):
+        parts = [t or "" for t in texts.to_pylist()]
+        pad = "\0" * (ORDER - 1)
+        points = np.frombuffer((pad + pad.join(parts)).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        start = np.cumsum(sizes + ORDER - 1) - sizes
+        real = np.ones(len(points), bool)
+        for i in range(1, ORDER):
+            real[start - i] = False
+        space = SPACE[np.minimum(points, 0x3001)] & real
+        points = np.where(space, 32, np.where(real & (points == 0), 0xFFFD, points))
+        keep = np.append(True, ~(space[1:] & space[:-1]))
+        self.points = points[keep].astype(U)
+        self.at = np.flatnonzero(real[keep])
+        self.owner = np.repeat(np.arange(len(parts)), sizes + ORDER - 1)[keep][self.at] if len(parts) else self.at
+        self.size = np.bincount(self.owner, minlength=len(parts))
+
+    def grams(self, k: int, at: np.ndarray) -> np.ndarray:
+        """The hash of the ``k`` characters that end at each place."""
+        return gram_hash(self.points[at - k + i] for i in range(1, k + 1))
+
+
+def gram_hash(columns) -> np.ndarray:
+    out, k = U(0), 0
+    with np.errstate(over="ignore"):
+        for c in columns:
+            out, k = out * U(0x2545F4914F6CDD1D | 1) + c, k + 1
+        return mix(out + U(k))
 
 
 def counts(texts: DataFrame) -> DataFrame:
-    """``(gram, c)`` over all of ``texts(text)``."""
+    """``(gram, c)`` over all of ``texts(text)``: each character with the ``ORDER - 1`` before it."""
+
+    def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        h, points, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        return h[first], points[first], np.bincount(which, c, len(first)).astype(np.int64)
+
+    def out(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        text = np.ascontiguousarray(part[1].astype(np.uint32)).view(f"<U{ORDER}").ravel().tolist()
+        return pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(part[2])], names=["gram", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts = 0, []
-        def out() -> pa.RecordBatch:
-            gram, c = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int32)), pa.array(c.astype(np.int64))], names=["gram", "c"])
         for batch in batches:
-            for piece in pieces(batch):
-                parts.append(_grams(piece.column("text"))[0])
-                held += len(parts[-1])
+            for piece in pieces(batch, limit=PIECE):
+                chars = Chars(piece.column("text"))
+                h, first, c = np.unique(chars.grams(ORDER, chars.at), return_index=True, return_counts=True)
+                at = chars.at[first]
+                parts.append((h, np.stack([chars.points[at - ORDER + i] for i in range(1, ORDER + 1)], axis=1).astype(np.uint32), c))
+                held += len(h)
                 if held > GATHER:
-                    yield out()
-                    held, parts = 0, []
+                    parts = [merged(parts)]
+                    held = len(parts[0][0])
+                    if held > GATHER // 2:
+                        yield out(parts[0])
+                        held, parts = 0, []
         if held:
-            yield out()
+            yield out(merged(parts))
 
-    return texts.select("text").mapInArrow(run, "gram int, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def _discounts(table: DataFrame) -> tuple[float, float, float]:
@@ -120,53 +137,150 @@ def _discounts(table: DataFrame) -> tuple[float, float, float]:
     return tuple(min(float(i), max(0.1, i - (i + 1) * y * b / a)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-def train(texts: DataFrame) -> list[dict[str, np.ndarray]]:
-    """For each order from 1: seen ``gram`` with discounted probability ``p``, and seen ``context`` with its weight ``g``.
+def train(texts: DataFrame) -> tuple[list[DataFrame], float]:
+    """``(orders, unseen)``: for each order from 1 ``(gram, p, bow)``, and the probability of a character never seen.
 
-    Null and empty texts add nothing; without any text all characters are equally likely.
+    ``p``: the interpolated probability of the n-gram's last character, null
+    where the n-gram is only a context; ``bow``: the weight of shorter contexts
+    behind it, 1 where nothing follows it. Null and empty texts add nothing;
+    without any text there are no n-grams and ``unseen`` is 1.
     """
-    table, out = written(counts(texts), "counts"), []
+    table, levels = written(counts(texts), "counts"), []
     for n in range(ORDER, 0, -1):
         d = _discounts(table)
         cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        rows = table.select("gram", "c", F.floor(F.col("gram") / CLASSES).cast("int").alias("context"), cut.alias("cut"))
-        sums = rows.groupBy("context").agg(F.sum("c").alias("all"), F.sum("cut").alias("free"))
-        seen = rows.join(sums, "context").select("gram", ((F.col("c") - F.col("cut")) / F.col("all")).alias("p")).toPandas()
-        weight = sums.select("context", (F.col("free") / F.col("all")).alias("g")).toPandas()
-        out.append({"gram": seen["gram"].to_numpy(np.int32), "p": seen["p"].to_numpy(np.float32), "context": weight["context"].to_numpy(np.int32), "g": weight["g"].to_numpy(np.float32)})
+        rows = table.select("gram", "c", F.substring("gram", 1, n - 1).alias("context"), F.substring("gram", 2, n - 1).alias("suffix"), cut.alias("cut"))
+        sums = written(rows.groupBy("context").agg(F.sum("c").alias("all"), F.sum("cut").alias("free")).select("context", "all", (F.col("free") / F.col("all")).alias("g")), "contexts")
+        levels.append((rows, sums))
         if n > 1:  # continuation counts: in how many different n-grams this shorter one is the end
-            table = written(table.groupBy((F.col("gram") % CLASSES ** (n - 1)).cast("int").alias("gram")).agg(F.count("*").alias("c")), "counts")
-    return out[::-1]
+            table = written(rows.groupBy(F.col("suffix").alias("gram")).agg(F.count("*").alias("c")), "counts")
+    letters = levels[-1][0].count()
+    base = levels[-1][1].first()
+    unseen = (base["g"] if base else 1.0) / (letters + 1)
+    orders, below = [], None
+    for n, (rows, sums) in enumerate(reversed(levels), 1):
+        joined = rows.join(sums, "context")
+        p = (F.col("c") - F.col("cut")) / F.col("all")
+        if n == 1:
+            seen = joined.select("gram", (p + unseen).alias("p"))
+        else:
+            seen = joined.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("low")), "suffix").select("gram", (p + F.col("g") * F.col("low")).alias("p"))
+        below = written(seen, "seen")
+        if n < ORDER:
+            after = levels[ORDER - 1 - n][1].select(F.col("context").alias("gram"), "g")
+            orders.append(written(below.join(after, "gram", "full").select("gram", "p", F.coalesce("g", F.lit(1.0)).alias("bow")), "order"))
+        else:
+            orders.append(below.withColumn("bow", F.lit(1.0)))
+    return orders, unseen
+
 
+def hashed(order: DataFrame, k: int) -> DataFrame:
+    """``(h, lp, bow)`` of an order: the n-grams' hashes, and logarithms to the base 2."""
 
-def table_of(model: list[dict[str, np.ndarray]]) -> np.ndarray:
-    """The log2 probability of every n-gram: 64 MB, made where it is used."""
-    p = np.full(1, 1 / CLASSES, np.float32)
-    for n, m in enumerate(model):
-        g = np.ones(CLASSES**n, np.float32)
-        g[m["context"]] = m["g"]
-        p = np.repeat(g, CLASSES) * np.tile(p, CLASSES) if n else np.full(CLASSES, g[0] / CLASSES, np.float32)
-        p[m["gram"]] += m["p"]
-    return np.log2(p, out=p)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = np.frombuffer("".join(batch.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, k).astype(U)
+            yield pa.RecordBatch.from_arrays([pa.array(gram_hash(points.T).view(np.int64)), batch.column("p"), batch.column("bow")], names=["h", "p", "bow"])
+
+    return order.mapInArrow(run, "h long, p double, bow double").select("h", F.log2("p").cast("float").alias("lp"), F.log2("bow").cast("float").alias("bow"))
+
+
+class Model:
+    """The n-grams of each order, sorted by hash."""
 
+    def __init__(self, orders: list[DataFrame], unseen: float):
+        self.unseen = float(np.log2(unseen))
+        self.tables = []
+        for k, order in enumerate(orders, 1):
+            t = hashed(order, k).toArrow()
+            h = t.column("h").to_numpy().view(U)
+            by = np.argsort(h)
+            self.tables.append((h[by], t.column("lp").to_numpy(zero_copy_only=False).astype(np.float32)[by], t.column("bow").to_numpy()[by]))
 
-def perplexities(docs: DataFrame, model: list[dict[str, np.ndarray]]) -> DataFrame:
+    def find(self, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = self.tables[k - 1][0]
+        at = np.minimum(np.searchsorted(own, h), max(0, len(own) - 1))
+        return at, (own[at] == h) if len(own) else np.zeros(len(h), bool)
+
+    def logs(self, chars: Chars, at: np.ndarray, k: int = ORDER, h: np.ndarray | None = None) -> np.ndarray:
+        """The log2 probability of the character at each place after the ``k - 1`` before it."""
+        if k == 0 or not len(at):
+            return np.full(len(at), self.unseen)
+        where, seen = self.find(k, chars.grams(k, at) if h is None else h)
+        seen &= ~np.isnan(self.tables[k - 1][1][where]) if len(self.tables[k - 1][0]) else seen
+        out = np.zeros(len(at))
+        out[seen] = self.tables[k - 1][1][where[seen]]
+        rest = at[~seen]
+        lower = self.logs(chars, rest, k - 1)
+        if k > 1:
+            where, had = self.find(k - 1, chars.grams(k - 1, rest - 1))
+            lower[had] += self.tables[k - 2][2][where[had]]
+        out[~seen] = lower
+        return out
+
+
+def perplexities(docs: DataFrame, orders: list[DataFrame], unseen: float, model_rows: int = MODEL_ROWS) -> DataFrame:
     """``docs`` with ``n`` characters and their ``bits``, the negative log2 probability of the whole text."""
-    shared, made = docs.sparkSession.sparkContext.broadcast(model), {}
+    if sum(o.count() for o in orders) > model_rows:
+        return _joined(docs, orders, unseen)
+    shared = docs.sparkSession.sparkContext.broadcast(Model(orders, unseen))
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        if 0 not in made:
-            made[0] = table_of(shared.value)
-        size, bits = [], []
-        for piece in pieces(batch):
-            grams, n = _grams(piece.column("text"))
-            size.append(n)
-            bits.append(-np.bincount(np.repeat(np.arange(len(n)), n), made[0][grams], len(n)) + 0.0)
+        size, bits = [np.zeros(0)], [np.zeros(0)]
+        for piece in pieces(batch, limit=PIECE):
+            chars = Chars(piece.column("text"))
+            h, first, which = np.unique(chars.grams(ORDER, chars.at), return_index=True, return_inverse=True)
+            logs = shared.value.logs(chars, chars.at[first], h=h)
+            size.append(chars.size)
+            bits.append(-np.bincount(chars.owner, logs[which], piece.num_rows) + 0.0)
         return [pa.array(np.concatenate(size).astype(np.int64)), pa.array(np.concatenate(bits))]
 
     return adding(docs, [StructField("n", LongType()), StructField("bits", DoubleType())], make)
 
 
+def _joined(docs: DataFrame, orders: list[DataFrame], unseen: float) -> DataFrame:
+    """:func:`perplexities` for a model of any size: what documents and model hold meets by shards of the n-gram."""
+    entries, below = [], None
+    for k, order in enumerate(orders, 1):
+        seen = order.where("p is not null").select("gram", F.log2("p").alias("lp"))
+        if k == 1:
+            own = seen.select("gram", (F.col("lp") - F.lit(float(np.log2(unseen)))).alias("value"))
+        else:  # above what the shorter n-gram would give
+            bow = orders[k - 2].select(F.col("gram").alias("c"), F.log2("bow").alias("bow"))
+            low = below.select(F.col("gram").alias("s"), F.col("lp").alias("low"))
+            both = seen.join(low, F.substring("gram", 2, k - 1) == F.col("s")).join(bow, F.substring("gram", 1, k - 1) == F.col("c"))
+            own = both.select("gram", (F.col("lp") - F.col("bow") - F.col("low")).alias("value"))
+            entries.append(bow.where("bow <> 0").select(F.lit(-(k - 1)).alias("kind"), F.col("c").alias("gram"), F.col("bow").alias("value")))
+        entries.append(own.select(F.lit(k).alias("kind"), "gram", "value"))
+        below = seen
+    model = reduce(DataFrame.unionByName, entries)
+    # ids of rows that hold however often they are computed: they are written first
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                chars, ids = Chars(piece.column("text")), piece.column("__row").to_numpy()
+                for kind in [*range(1, ORDER + 1), *range(1 - ORDER, 0)]:
+                    k, at = abs(kind), chars.at - (kind < 0)
+                    key = gram_hash([chars.grams(k, at), chars.owner.astype(U)])
+                    _, first, c = np.unique(key, return_index=True, return_counts=True)
+                    points = np.stack([chars.points[at[first] - k + i] for i in range(1, k + 1)], axis=1).astype(np.uint32)
+                    # whole strings, for numpy would cut edge signs from the end
+                    text = points.tobytes().decode("utf-32-le", "surrogatepass")
+                    grams = [text[i : i + k] for i in range(0, len(text), k)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[chars.owner[first]]), pa.array([kind] * len(first), pa.int32()), pa.array(grams, pa.string()), pa.array(c)], names=["__row", "kind", "gram", "c"])
+
+    found = rows.select("__row", "text").mapInArrow(run, "__row long, kind int, gram string, c long").join(model, ["kind", "gram"])
+    sums = found.groupBy("__row").agg(F.sum(F.col("c") * F.col("value")).alias("logs"))
+
+    def sizes(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array(np.concatenate([Chars(p.column("text")).size for p in pieces(batch)]).astype(np.int64))]
+
+    sized = adding(rows, [StructField("n", LongType())], sizes).join(sums, "__row", "left").drop("__row")
+    return sized.withColumn("bits", -F.coalesce("logs", F.lit(0.0)) - F.col("n") * F.lit(float(np.log2(unseen)))).drop("logs")
+
+
 def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """The texts of ``docs`` whose id is in ``trusted(doc_id)``."""
     ids = trusted.limit(BROADCAST_IDS + 1).count()
@@ -177,17 +291,21 @@ def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, lang, n_chars, perplexity, score, threshold, keep)`` of every row of ``docs(doc_id, text, lang)``.
 
-    Trusted are ids with a label of quality 1 and toxic 0 and no other label.
+    Trusted are ids with a label of quality 1 and toxic 0 and no other label;
+    one in ``FOLDS`` of them is left out of the model and sets the thresholds.
     Texts without characters have perplexity 1 and stay, there being nothing
-    against them. A null language is one of its own. Without trusted text every
-    threshold is null and every row stays. Equal rows are treated alike.
+    against them. A null language is one of its own. Without held-out trusted
+    text every threshold is null and every row stays. Equal rows are treated
+    alike, an empty table gives no rows, and other columns are not read.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     trusted = labels.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("good")).where("good").select("doc_id")
-    trusted = written(trusted, "trusted")
-    scored = written(perplexities(docs, train(trusted_texts(docs, trusted))).drop("text"), "scored")
-    own = scored.join(trusted, "doc_id", "left_semi").where("n > 0")
+    trusted = written(trusted.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0), "trusted")
+    held = trusted.where("held").select("doc_id")
+    orders, unseen = train(trusted_texts(docs, trusted.where("not held").select("doc_id")))
+    scored = written(perplexities(docs, orders, unseen).drop("text"), "scored")
+    own = scored.join(held, "doc_id", "left_semi").where("n > 0")
     by = own.groupBy("lang").agg((F.sum("bits") / F.sum("n")).alias("mean"), F.count("*").alias("c"))
     all_mean = own.agg((F.sum("bits") / F.sum("n")).alias("m"))
     overall = all_mean.first()[0]
@@ -197,7 +315,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score = F.when(F.col("n") > 0, (F.col("bits") + PRIOR * mean) / (F.col("n") + PRIOR))
     rated = written(joined.select("doc_id", "lang", "n", "bits", F.when(F.col("c") >= LEAST, F.struct("lang")).alias("own"), score.alias("score")), "rated")
     # exact quantiles over steps of the score: the number of steps does not grow with the corpus
-    steps = rated.join(trusted, "doc_id", "left_semi").where("score is not null").select("own", F.floor(F.col("score") / STEP).alias("step"))
+    steps = rated.join(held, "doc_id", "left_semi").where("score is not null").select("own", F.floor(F.col("score") / STEP).alias("step"))
     steps = steps.unionAll(steps.where("own is not null").select(F.lit(None).alias("own"), "step")).groupBy("own", "step").count()
     part = W.partitionBy("own")
     reached = steps.withColumn("share", F.sum("count").over(part.orderBy("step")) / F.sum("count").over(part))

@@ -1,66 +1,71 @@
-import itertools
-
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from kinfold.llm import quality
 
 
-def test_model_sums_to_one_and_knows_its_text(spark):
-    texts = spark.createDataFrame([("the river and the stone. " * 20,), ("quiet garden under the morning light",), (None,), ("",)], "text string")
-    model = quality.train(texts)
-    p = 2.0 ** quality.table_of(model).astype(float)
-    sums = p.reshape(-1, quality.CLASSES).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-3)
-
-
-def test_counts_are_those_of_the_text(spark):
-    text = "ab  ab"
-    got = {r["gram"]: r["c"] for r in quality.counts(spark.createDataFrame([(text,)], "text string")).collect()}
-    cls = [0, 0, 0, *(3 + ord(c) - 97 if c != " " else 1 for c in "ab ab")]
-    want = {}
-    for i in range(3, len(cls)):
-        g = int(sum(c * 64 ** (3 - k) for k, c in enumerate(cls[i - 3 : i + 1])))
-        want[g] = want.get(g, 0) + 1
-    assert got == want
-
-
-def test_kneser_ney_by_hand():
-    """Probabilities from the tables equal the recursion written out."""
-    rng = np.random.default_rng(0)
-    grams, n = quality._grams(pa.array(["".join(rng.choice(list("abc "), 400))]))
-    assert n.tolist() == [len(grams)]
-    levels = {4: dict(zip(*np.unique(grams, return_counts=True), strict=True))}
-    for k in (3, 2, 1):
-        up = {}
+def brute(texts, order=quality.ORDER):
+    """A function that gives the log2 probability of a text, by the recursion written out over dictionaries."""
+    counts = {}
+    pad = "\0" * (order - 1)
+    for t in texts:
+        t = pad + " ".join(t.split())
+        for i in range(order - 1, len(t)):
+            g = t[i - order + 1 : i + 1]
+            counts[g] = counts.get(g, 0) + 1
+    levels, params = {order: counts}, {}
+    for k in range(order - 1, 0, -1):
+        levels[k] = {}
         for g in levels[k + 1]:
-            up[g % 64**k] = up.get(g % 64**k, 0) + 1
-        levels[k] = up
-    model, ds = [], {}
-    for k in (1, 2, 3, 4):
-        c = levels[k]
+            levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
+    for k, c in levels.items():
         n1, n2, n3, n4 = (max(1, sum(v == i for v in c.values())) for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2)
-        ds[k] = [min(float(i), max(0.1, i - (i + 1) * y * b / a)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        cut = {g: ds[k][min(v, 3) - 1] for g, v in c.items()}
+        d = [min(float(i), max(0.1, i - (i + 1) * y * b / a)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
         total, free = {}, {}
         for g, v in c.items():
-            total[g // 64] = total.get(g // 64, 0) + v
-            free[g // 64] = free.get(g // 64, 0) + cut[g]
-        model.append({"gram": np.array(list(c), np.int32), "p": np.array([(v - cut[g]) / total[g // 64] for g, v in c.items()], np.float32), "context": np.array(list(total), np.int32), "g": np.array([free[h] / total[h] for h in total], np.float32)})
-
-    def p(g, k):
-        low = p(g % 64 ** (k - 1), k - 1) if k > 1 else 1 / 64
-        m = model[k - 1]
-        h = g // 64
-        if h not in m["context"]:
-            return low
-        own = m["p"][m["gram"] == g]
-        return float(own.sum()) + float(m["g"][m["context"] == h][0]) * low
-
-    table = quality.table_of(model)
-    for g in itertools.chain(grams[:50].tolist(), rng.integers(0, 64**4, 50).tolist()):
-        assert np.isclose(2.0 ** table[g], p(g, 4), rtol=1e-3)
+            total[g[:-1]] = total.get(g[:-1], 0) + v
+            free[g[:-1]] = free.get(g[:-1], 0) + d[min(v, 3) - 1]
+        params[k] = d, total, free
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (len(levels[1]) + 1)
+        d, total, free = params[k]
+        if g[:-1] not in total:
+            return p(g[1:])
+        v = levels[k].get(g, 0)
+        return (v - d[min(v, 3) - 1] if v else 0) / total[g[:-1]] + free[g[:-1]] / total[g[:-1]] * p(g[1:])
+
+    def bits(t):
+        t = pad + " ".join(t.split())
+        return -sum(np.log2(p(t[i - order + 1 : i + 1])) for i in range(order - 1, len(t)))
+
+    return bits, p
+
+
+TEXTS = ["the river and the stone. the river and the light", "quiet garden under the morning light", "ab  ab\tab\nab", "naïve 你好 😀 café"]
+ASKED = [*TEXTS, "the stone under the garden", "zzz qqq", "x", "你你 the"]
+
+
+@pytest.mark.parametrize("rows", [quality.MODEL_ROWS, 0])
+def test_bits_equal_the_recursion(spark, rows):
+    bits, p = brute(TEXTS)
+    orders, unseen = quality.train(spark.createDataFrame([(t,) for t in [*TEXTS, None, ""]], "text string"))
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate([*ASKED, None, ""])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality.perplexities(asked, orders, unseen, rows).collect()}
+    for i, t in enumerate(ASKED):
+        assert got[i]["n"] == len(" ".join(t.split())) and got[i]["bits"] == pytest.approx(bits(t), rel=1e-4)
+    assert [(got[i]["n"], got[i]["bits"]) for i in (len(ASKED), len(ASKED) + 1)] == [(0, 0), (0, 0)]
+    letters = {c for t in TEXTS for c in " ".join(t.split())}
+    assert sum(p("he r" + c) for c in letters) + p("he r\u2603") == pytest.approx(1)
+
+
+def test_counts_are_those_of_the_text(spark):
+    got = {r["gram"]: r["c"] for r in quality.counts(spark.createDataFrame([("ab  ab",), (None,), ("",)], "text string")).collect()}
+    assert got == {"\0\0\0\0a": 1, "\0\0\0ab": 1, "\0\0ab ": 1, "\0ab a": 1, "ab ab": 1}
 
 
 def test_junk_goes_and_clean_text_stays(spark):
