@@ -1,10 +1,14 @@
 """Personal data: base patterns, and terms that give protected entities away.
 
-E-mail addresses, IP addresses, card and phone numbers are found by pattern.
-Each distinct value is a protected entity. Terms near an entity are judged by
-what they tell about it: over the corpus, a term's disclosure of an entity is
+E-mail addresses, IP addresses, card and phone numbers are found by pattern,
+and codes: long terms of letters and digits mixed, as keys and access tokens
+are. Each distinct value is a protected entity, and so is each kind, the fact
+that one stands here. A code is the entity itself, so as a term it leaves no
+bits and is taken out. Other terms near an entity are judged by what they tell
+about it: over the corpus, a term's disclosure of an entity is
 the information left to guess it, ``-log2 P(entity | term)``, where P is the
-share of the term's documents that have the term near the entity. A term that
+share of the term's documents that have the term near the entity. There are few
+kinds, so what tells a kind must leave at most ``REMOVE`` bits, and is replaced. A term that
 leaves at most ``GENERALISE`` bits is replaced by a placeholder of its kind, one
 that leaves at most ``REMOVE`` bits is taken out, wherever it stands.
 
@@ -31,7 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField
 
+from kinfold.llm._frames import adding, columns, packed
 from kinfold.llm._words import U, Words, blob, mix, pieces
 from kinfold.session import written
 
@@ -39,6 +45,11 @@ KINDS = ("email", "ip", "card", "phone", "term")
 #: Terms on each side of an entity that count as near it.
 WINDOW = 5
 CONTEXTS = 3
+#: Bytes of a term, at least: shorter ones are particles and numbers that stand everywhere.
+LEAST_BYTES = 3
+#: Characters of a code, at least; longer than words with a digit in them are.
+CODE_LENGTH = 16
+CODE_KIND = 5
 GENERALISE, REMOVE = 1.0, 0.25
 FILTER_BITS = 1 << 24
 
@@ -49,6 +60,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+TERM = re.compile(r"[^\W_]+")
+CODE = re.compile(rf"(?<![^\W_])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{{{CODE_LENGTH},}}+(?![^\W_])")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -109,57 +122,75 @@ class Terms(Words):
         super().__init__(pa.array([c.decode() for c in clean]))
 
 
-def _near(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, str]]:
-    """For each span its entity's hash and the text on either side, without other entities."""
-    hidden = list(text) if len(text) < 4096 else None
-    if hidden is None:  # only what is around the spans
-        parts = []
-        for a, k, b in spans:
-            lo, hi = max(0, a - 160), b + 160
-            piece = list(text[lo:hi])
-            for x, _, y in spans:
-                if x < hi and y > lo:
-                    piece[max(0, x - lo) : max(0, y - lo)] = " " * (min(y, hi) - max(x, lo))
-            parts.append((text[a:b], k, "".join(piece[: a - lo]), "".join(piece[b - lo :])))
-    else:
-        for a, _, b in spans:
-            hidden[a:b] = " " * (b - a)
-        flat = "".join(hidden)
-        parts = [(text[a:b], k, flat[max(0, a - 160) : a], flat[b : b + 160]) for a, k, b in spans]
+def codes(text: str) -> list[tuple[int, int]]:
+    """Where codes stand: whole terms of at least ``CODE_LENGTH`` ASCII letters and digits, some of each."""
+    return [m.span() for m in CODE.finditer(text)]
+
+
+def _side(flat: str, at: int, step: int) -> str:
+    """The text on one side of a place, as far as ``WINDOW`` whole terms reach."""
+    size = 32 * WINDOW
+    while True:
+        piece = flat[max(0, at - size) : at] if step < 0 else flat[at : at + size]
+        if len(piece) < size or len(TERM.findall(piece)) > WINDOW:
+            return piece
+        size *= 4
+
+
+def _near(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[list[int], str, str]]:
+    """For each span the hashes of its value and of its kind, and the text on either side, without other entities."""
+    parts, at = [], 0
+    for a, _, b in spans:
+        if b > at:
+            parts += [text[at:a], " " * (b - max(a, at))]
+            at = b
+    flat = "".join([*parts, text[at:]])
     out = []
-    for value, k, left, right in parts:
-        value = value.lower() if k == 0 else "".join(DIGIT.findall(value)) if k > 1 else value
-        h = int.from_bytes(hashlib.blake2b(f"{k}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
-        out.append((h, left, right))
+    for a, k, b in spans:
+        value = text[a:b].lower() if k in (0, CODE_KIND) else "".join(DIGIT.findall(text[a:b])) if k > 1 else text[a:b]
+        out.append(([_key_of(f"{k}:{value}"), _kind_of(k)], _side(flat, a, -1), _side(flat, b, 1)))
     return out
 
 
+def _kind_of(k: int) -> int:
+    return _key_of(f"kind:{k}")
+
+
+def _key_of(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _found(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_key, spans, near)``: base spans, and for each entity's place the terms around it."""
+    """``(doc_id, text_key, spans, codes, near)``: base spans, codes, and for each entity's place the terms around it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near_type = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("terms", pa.list_(pa.int64()))]))
+        code_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            spans_out, near_out, keys = [], [], []
+            spans_out, codes_out, near_out, keys = [], [], [], []
             for text in batch.column("text").to_pylist():
                 text = text or ""
-                keys.append(int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True))
-                spans = base_spans(text)
+                keys.append(_key_of(text))
+                spans, own = base_spans(text), codes(text)
                 spans_out.append(told(spans))
+                codes_out.append([{"start": a, "end": b} for a, b in own])
                 near = []
-                if spans:
-                    around = _near(text, spans)
+                if spans or own:
+                    around = _near(text, sorted(spans + [(a, CODE_KIND, b) for a, b in own]))
                     w = Terms([x for _, a, b in around for x in (a, b)])
-                    for i, (entity, _, _) in enumerate(around):
+                    for i, (entities, _, _) in enumerate(around):
                         a, b, c = w.first[2 * i : 2 * i + 3]
                         own = np.concatenate([w.hash[max(a, b - WINDOW) : b], w.hash[b : min(c, b + WINDOW)]])
                         size = np.concatenate([(w.end - w.begin)[max(a, b - WINDOW) : b], (w.end - w.begin)[b : min(c, b + WINDOW)]])
                         context = int(mix(own).sum(dtype=U).view(np.int64)) if len(own) else 0
-                        near.append({"entity": entity, "context": context, "terms": np.unique(own[size > 2].view(np.int64)).tolist()})
+                        terms = np.unique(own[size >= LEAST_BYTES].view(np.int64)).tolist()
+                        near += [{"entity": e, "context": context, "terms": terms} for e in entities]
                 near_out.append(near)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(spans_out, pa.string()), pa.array(near_out, near_type)], names=["doc_id", "text_key", "spans", "near"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(spans_out, pa.string()), pa.array(codes_out, code_type), pa.array(near_out, near_type)], names=["doc_id", "text_key", "spans", "codes", "near"]
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, text_key long, spans string, near array<struct<entity:long,context:long,terms:array<long>>>")
+    return docs.mapInArrow(run, f"doc_id {kind}, text_key long, spans string, codes array<struct<start:int,end:int>>, near array<struct<entity:long,context:long,terms:array<long>>>")
 
 
 def _places(h: np.ndarray) -> np.ndarray:
@@ -217,7 +248,7 @@ def _marked(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 for i, t in zip(at.tolist(), text.tolist(), strict=True):
                     base = int(w.offset[t])
                     a = len(w.data[base : w.begin[i]].decode())
-                    keys.append(int.from_bytes(hashlib.blake2b(texts[t].encode(), digest_size=8).digest(), "little", signed=True))
+                    keys.append(_key_of(texts[t]))
                     start.append(a)
                     end.append(a + len(w.data[w.begin[i] : w.end[i]].decode()))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(w.hash[at].view(np.int64)), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["text_key", "term", "start", "end"])
@@ -227,30 +258,37 @@ def _marked(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_key, spans, marks)`` of every row: base spans as text, and disclosing terms with what to do.
+    """``(doc_id, text_key, spans, marks)`` of every row: base spans as text, and disclosing terms and codes with what to do.
 
-    Null texts count as empty. Equal rows are treated alike. Ties between
-    entities go to the one that a term gives away most.
+    Null texts count as empty. Equal rows count each, both where a term meets
+    an entity and where it stands, and are treated alike. Ties between entities
+    go to the one that a term gives away most. An empty table gives no rows;
+    other columns are not read.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found = written(_found(rows), "found")
-    near = found.where(F.size("near") > 0).select("doc_id", "text_key", F.explode("near").alias("x"))
-    each = near.select("doc_id", "text_key", "x.entity", "x.context", F.explode("x.terms").alias("term")).distinct()
+    near = found.where(F.size("near") > 0).select(F.monotonically_increasing_id().alias("row"), F.explode("near").alias("x"))
+    each = near.select("row", "x.entity", "x.context", F.explode("x.terms").alias("term"))
     contexts = each.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
-    pairs = each.select("entity", "term", "doc_id", "text_key").distinct().groupBy("entity", "term").agg(F.count("*").alias("met"))
+    pairs = each.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("met"))
     candidates = written(contexts.where(F.col("contexts") >= CONTEXTS).join(pairs, ["entity", "term"]), "candidates")
+    own = F.transform("codes", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit("remove").alias("action")))
     marks = None
     if candidates.limit(1).count():
         df = _frequencies(rows, candidates.select("term").distinct())
         left = -F.log2(F.least(F.lit(1.0), F.col("met") / F.col("docs")))
-        terms = candidates.join(df, "term").groupBy("term").agg(F.min(left).alias("bits")).where(F.col("bits") <= GENERALISE)
-        terms = written(terms.select("term", F.when(F.col("bits") <= REMOVE, "remove").otherwise("generalise").alias("action")), "terms")
+        of_kind = F.col("entity").isin(*map(_kind_of, range(len(KINDS) + 1)))
+        bits = lambda which: F.coalesce(F.min(F.when(which, left)), F.lit(float("inf")))
+        terms = candidates.join(df, "term").groupBy("term").agg(bits(~of_kind).alias("value"), bits(of_kind).alias("kind")).where((F.col("value") <= GENERALISE) | (F.col("kind") <= REMOVE))
+        terms = written(terms.select("term", F.when(F.col("value") <= REMOVE, "remove").otherwise("generalise").alias("action")), "terms")
         if terms.limit(1).count():
             marks = _marked(rows, terms)
-    none = F.expr("cast(null as array<struct<start:int,end:int,action:string>>)")
     if marks is None:
-        return found.select("doc_id", "text_key", "spans", none.alias("marks"))
-    return found.join(marks, "text_key", "left").select("doc_id", "text_key", "spans", "marks")
+        return found.select("doc_id", "text_key", "spans", own.alias("marks"))
+    joined = found.join(marks, "text_key", "left")
+    # a code that is a disclosing term too is one mark
+    more = F.filter(F.coalesce("marks", F.filter(own, lambda x: F.lit(False))), lambda m: ~F.exists("codes", lambda c: c["start"] == m["start"]))
+    return joined.select("doc_id", "text_key", "spans", F.array_sort(F.concat(own, more)).alias("marks"))
 
 
 def _spans(text: str) -> list[tuple[int, int, int]]:
@@ -258,19 +296,20 @@ def _spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` of every row."""
+    """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term)`` of every row, as :func:`findings` treats it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, all_spans = batch.column("spans").to_pylist(), []
+            base, all_spans, terms = batch.column("spans").to_pylist(), [], []
             for text, marks in zip(base, batch.column("marks").to_pylist(), strict=True):
                 more = [(m["start"], 4, m["end"]) for m in marks or ()]
+                terms.append(len(more))
                 all_spans.append(told(sorted(_spans(text) + more)) if more else text)
             count = {f"n_{k}": pa.array([t.count(f"{k}:") for t in base], pa.int64()) for k in KINDS[:4]}
             sha = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in base], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *count.values(), sha, pa.array(all_spans, pa.string())], names=["doc_id", *count, "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *count.values(), sha, pa.array(all_spans, pa.string()), pa.array(terms, pa.int64())], names=["doc_id", *count, "base_sha256", "spans", "n_term"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return findings(docs).mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return findings(docs).mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -279,17 +318,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
     Where spans overlap, the one that begins first is applied, then what
     begins after its end. Null texts stay null; other columns stay.
     """
-    from pyspark.sql.types import StringType, StructField
-
-    from kinfold.llm._frames import adding
-
-    names = docs.columns
-    packed = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    found = findings(docs).where("spans <> '' or marks is not null").select("text_key", "spans", "marks").dropDuplicates(["text_key"])
+    row = packed(docs, F.col("text").cast("string").alias("text"))
+    found = findings(docs).where("spans <> '' or size(marks) > 0").select("text_key", "spans", "marks").dropDuplicates(["text_key"])
 
     def keys(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = batch.column("text").to_pylist()
-        return [pa.array([int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "little", signed=True) for t in texts], pa.int64())]
+        return [pa.array([_key_of(t or "") for t in texts], pa.int64())]
 
     def apply(batch: pa.RecordBatch) -> list[pa.Array]:
         out = []
@@ -304,8 +338,6 @@ def sanitise(docs: DataFrame) -> DataFrame:
             out.append(text if text is None else "".join(parts) + text[at:])
         return [pa.array(out, pa.string())]
 
-    from pyspark.sql.types import LongType
-
-    keyed = adding(packed, [StructField("text_key", LongType())], keys)
+    keyed = adding(row, [StructField("text_key", LongType())], keys)
     done = adding(keyed.join(found, "text_key", "left"), [StructField("clean", StringType())], apply)
-    return done.select(*(F.col("clean").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names))
+    return done.select(*columns(docs, text=F.col("clean")))

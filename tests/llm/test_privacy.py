@@ -63,3 +63,34 @@ def test_terms_that_disclose(spark):
     clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(df).collect()}
     assert "zq@" not in clean[0] and "<email>" in clean[0] and "Quill" not in clean[0] and clean[301] is None
     assert clean[100] == rows[4][1]
+
+
+def test_codes_and_what_announces_them(spark):
+    near = ["amber river stone", "quiet garden morning", "winter ledger marble", "hollow orchard light"]
+    rows = [(i, f"{a} the passkey = \"{i}f{'a1b2c3d4' * 4}\" the {b}") for i, (a, b) in enumerate(zip(near, near[1:] + near[:1], strict=True))]
+    rows += [(10, "the words of the text 1234567890123456789 abcdefghijklmnopqrstuvw éa1b2c3d4a1b2c3d4 the"), (11, "the other key")]
+    got = {r["doc_id"]: r for r in privacy.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(4):
+        a, b = rows[i][1].index('"') + 1, rows[i][1].rindex('"')
+        c = rows[i][1].index("passkey")
+        assert got[i]["spans"] == f"term:{c}:{c + 7},term:{a}:{b}" and got[i]["n_term"] == 2
+    assert got[10]["n_term"] == 0 and got[11]["n_term"] == 0
+
+
+def test_windows_hold_whole_terms():
+    text = "x" * 1000 + " " + "y" * 900 + " a@b.cd " + "z" * 1000
+    (_, left, right), = privacy._near(text, privacy.base_spans(text))
+    assert left.split() == ["x" * 1000, "y" * 900] and right.split() == ["z" * 1000]
+
+
+def test_long_texts_are_searched_whole(spark):
+    text = "river stone " * 30_000 + "me@example.com and 10.0.0.1 " + "light " * 30_000 + "+1 (234) 555-6789"
+    r = privacy.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r["n_email"], r["n_ip"], r["n_phone"]) == (1, 1, 1)
+
+
+def test_repeated_rows_count_each(spark):
+    near = ["amber river stone", "quiet garden morning", "winter ledger marble"]
+    rows = [(i, f"{a} Vandermeer vm@example.com {a[::-1]}") for i, a in enumerate(near)]
+    got = privacy.report(spark.createDataFrame(rows * 3, "doc_id long, text string")).collect()
+    assert len(got) == 9 and {r["n_term"] for r in got} == {1}
