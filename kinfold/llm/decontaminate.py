@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from kinfold.llm._frames import adding
+from kinfold.llm._frames import adding, columns, packed
 from kinfold.llm._words import U, Words, blob, pieces, runs_of
 
 #: Words of a seed and of the shortest tile; an item of fewer words is its own seed, of whole texts only.
@@ -226,6 +226,5 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with its columns."""
-    names = docs.columns
-    packed = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), F.col("text").cast("string").alias("text"))
-    return contaminated(packed, benchmark).where("not contaminated").select("row.*")
+    rows = packed(docs, F.col("text").cast("string").alias("text"))
+    return contaminated(rows, benchmark).where("not contaminated").select(*columns(docs))

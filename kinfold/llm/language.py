@@ -28,13 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField
 
-from kinfold.llm._frames import adding
+from kinfold.llm._frames import adding, columns, packed
 from kinfold.llm._words import U, mix, pieces
+from kinfold.session import written
 
 DIM = 2048
 UNKNOWN = "und"
+#: Trigrams from which a text must be like some language to be accepted, and the score that says so.
+ENOUGH, ALIKE = 300, 0.5
 
 
 @lru_cache(1)
@@ -122,12 +125,16 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def identify(docs: DataFrame, profile: DataFrame) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the cosine with that language's prototype from 0 to 1.
-
-    Reads only ``text``. A null text, an empty one, one without a letter, and
-    any text when there is no profile, get ``und`` and 0. Ties go to the first
+    """``docs`` with ``lang_pred``, ``score`` and ``n_trigrams``.
+
+    ``score``: the dot product with that language's prototype over the lengths
+    of both, from 0 to 1. The text's length is that of orthogonal trigram
+    vectors, which is the bundled vector's up to a few hundredths; ``score`` is
+    the cosine as nearly. Reads only ``text``. A null text, an empty one, one without a letter, and
+    any text when there is no profile, get ``und`` and 0; without a letter there
+    are no trigrams. Ties go to the first
     language by code point. Repeated rows are treated alike; other columns
-    stay, but for those named like the two that are added.
+    stay, but for those named like the three that are added.
     """
     rows = profile.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("v")).orderBy("lang").collect()
     langs = [r["lang"] for r in rows]
@@ -153,10 +160,12 @@ def identify(docs: DataFrame, profile: DataFrame) -> DataFrame:
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         names: list[str] = []
         scores: list[float] = []
+        sizes: list[int] = []
         for piece in pieces(batch):
             n = piece.num_rows
             text, key, count = _trigrams(piece.column("text"))
             seen = np.bincount(text, minlength=n) > 0
+            sizes += np.bincount(text, count, n).astype(np.int64).tolist()
             if not langs or not len(text):
                 names += [UNKNOWN] * n
                 scores += [0.0] * n
@@ -168,9 +177,9 @@ def identify(docs: DataFrame, profile: DataFrame) -> DataFrame:
             cosine = np.clip(by[np.arange(n), best] / np.where(seen, size, 1), 0, 1)
             names += [langs[b] if s else UNKNOWN for b, s in zip(best, seen, strict=True)]
             scores += np.where(seen, cosine, 0.0).tolist()
-        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())]
 
-    return adding(docs, [StructField("lang_pred", StringType()), StructField("score", DoubleType())], make)
+    return adding(docs, [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("n_trigrams", LongType())], make)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -184,17 +193,28 @@ def learn(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with the columns of ``docs``.
-
-    Only texts in which no letter gives evidence of any language go, so clean
-    documents of every language stay.
+    """The rows of ``docs`` whose text is in one of the learned languages, with the columns of ``docs``.
+
+    Rejected are texts without a letter, null and empty ones too, and texts of
+    at least ``ENOUGH`` trigrams whose score is below ``ALIKE``: they have
+    letters, but not in the proportions of any language. A shorter text has too
+    little of any profile to tell, so it stays. Repeated rows are treated
+    alike; ids may be null; an empty table gives no rows. Without any language
+    to learn from only texts without a letter go.
     """
-    found = identify(docs.withColumns({f"__{c}": docs[c] for c in ("lang_pred", "score") if c in docs.columns}), learn(docs))
-    kept = found.where(F.col("lang_pred") != UNKNOWN)
-    return kept.select(*(F.col(f"__{c}" if c in ("lang_pred", "score") else c).alias(c) for c in docs.columns))
+    rows = packed(docs, *(F.col(c).alias(c) for c in ("doc_id", "lang")), F.col("text").cast("string").alias("text"))
+    profile = written(learn(rows.select("doc_id", "lang", "text")), "profile")
+    found = identify(rows, profile)
+    strange = (F.col("n_trigrams") >= ENOUGH) & (F.col("score") < ALIKE)
+    if profile.limit(1).count():
+        found = found.where(~strange)
+    return found.where("n_trigrams > 0").select(*columns(docs))
 
 
 def predictions(docs: DataFrame) -> DataFrame:
-    """``(doc_id, held_out, lang_pred, score)`` of every row."""
+    """``(doc_id, held_out, lang_pred, score, n_trigrams)`` of every row, as :func:`identify` and :func:`held_out` treat it.
+
+    A null id is learned from by nobody; an empty table gives no rows.
+    """
     rows = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return identify(rows, learn(docs)).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(rows, learn(docs)).select("doc_id", "held_out", "lang_pred", "score", "n_trigrams")

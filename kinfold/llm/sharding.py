@@ -2,9 +2,9 @@
 
 :func:`append` writes arrivals as small immutable shards, one writer task its
 own, without a shuffle. :func:`compact` puts runs into tiers by size, gathers
-runs of one tier up to the target size, and rewrites each group that holds
-several runs as one shard; runs near the target are left alone. Both commit a
-new manifest: the full list of shards is written beside the old ones and
+runs of one tier up to the target size, and rewrites a group as one shard if it
+holds at least ``FAN`` runs or fills most of a shard; others wait for more of
+their size, and runs near the target are left alone. Both commit a new manifest: the full list of shards is written beside the old ones and
 renamed to the next version, which fails if another writer took it. Readers
 see a version whole or not at all; a task or executor lost on the way leaves
 files that no manifest names.
@@ -22,16 +22,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kinfold.session import shared_dir
+from kinfold.llm._frames import packed
+from kinfold.session import shared_dir, written
 
 #: Bytes of a finished shard as stored, and the documents of an arrival file at most.
 TARGET_BYTES = 64 << 20
 ARRIVAL_ROWS = 2_000
-#: Sizes of neighbouring tiers differ by this factor.
+#: Sizes of neighbouring tiers differ by this factor, and so many runs of a tier are merged, unless fewer fill half a shard.
 FAN = 4
 #: Shards of the manifest that one task packs.
 LANE = 100_000
-#: Shards up to which the list of moves is broadcast (about 200 bytes each); beyond that it is shuffled.
+#: Shards up to which files are read by name and joined with a broadcast (about 200 bytes each); beyond that whole folders are read and shuffled by file.
 BROADCAST_ROWS = 200_000
 
 FOLDER = "data/v[0-9]{8}-[0-9a-f]{32}"
@@ -103,24 +104,28 @@ def append(docs: DataFrame, root: str) -> int:
     spark = docs.sparkSession
     had = versions(spark, root)
     folder = _folder(root, had)
-    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias(ROW))
-    packed.write.option("compression", "zstd").option("maxRecordsPerFile", ARRIVAL_ROWS).parquet(folder)
+    packed(docs).write.option("compression", "zstd").option("maxRecordsPerFile", ARRIVAL_ROWS).parquet(folder)
     return commit(manifest(spark, root).unionByName(_listed(spark, folder)), root, had[-1] if had else 0)
 
 
 def moves(shards: DataFrame) -> DataFrame:
-    """``(shard, into)`` for the shards that are rewritten: several of similar sizes for each new one.
+    """``(shard, into, number)`` for the shards that are rewritten: several of one tier for each new one; ``number`` counts the new ones from 0.
 
-    Runs, in lanes that one task can sort, are taken in order of tier and size
-    until the target is full. Runs of half the target and more stay.
+    In lanes that one task can sort, the runs of a tier are taken in order of
+    size until the target is full. Runs of half the target and more stay.
     """
     lanes = max(1, -(-shards.count() // LANE))
     small = shards.where(F.col("n_bytes") < TARGET_BYTES // 2).withColumn("lane", F.pmod(F.xxhash64("shard"), F.lit(lanes)))
-    order = W.partitionBy("lane").orderBy("tier", "n_bytes", "shard")
+    order = W.partitionBy("lane", "tier").orderBy("n_bytes", "shard")
     upto = F.sum("n_bytes").over(order.rowsBetween(W.unboundedPreceding, -1))
-    packed = small.withColumn("bin", F.floor(F.coalesce(upto, F.lit(0)) / TARGET_BYTES))
-    packed = packed.withColumn("c", F.count("*").over(W.partitionBy("lane", "bin")))
-    return packed.where("c > 1").select("shard", F.concat_ws("-", "lane", "bin").alias("into"))
+    binned = small.withColumn("bin", F.floor(F.coalesce(upto, F.lit(0)) / TARGET_BYTES))
+    groups = binned.groupBy("lane", "tier", "bin").agg(F.count("*").alias("c"), F.sum("n_bytes").alias("size"))
+    groups = groups.where((F.col("c") >= FAN) | ((F.col("c") > 1) & (F.col("size") >= TARGET_BYTES // 2)))
+    own = groups.groupBy("lane").agg(F.count("*").alias("own"))  # a row a lane
+    before = own.select(F.col("lane"), (F.sum("own").over(W.orderBy("lane")) - F.col("own")).alias("before"))
+    groups = groups.withColumn("place", F.row_number().over(W.partitionBy("lane").orderBy("tier", "bin"))).join(F.broadcast(before), "lane")
+    named = groups.select("lane", "tier", "bin", F.concat_ws("-", "lane", "tier", "bin").alias("into"), (F.col("before") + F.col("place") - 1).cast("int").alias("number"))
+    return binned.join(named, ["lane", "tier", "bin"]).select("shard", "into", "number")
 
 
 def compact(spark: SparkSession, root: str) -> int:
@@ -129,42 +134,38 @@ def compact(spark: SparkSession, root: str) -> int:
     if not had:
         return 0
     shards = manifest(spark, root, had[-1])
-    plan = moves(shards)
-    groups = plan.select("into").distinct().withColumn("number", F.row_number().over(W.orderBy("into")) - 1)
-    plan = plan.join(groups, "into").cache()
-    merged = groups.count()
+    plan = written(moves(shards), "moves")
+    merged = plan.select("into").distinct().count()
     if not merged:
         return had[-1]
-    old = shards.join(plan, "shard")
-    folders = [r[0] for r in old.select(F.regexp_extract("shard", f"^(.*/{FOLDER})/.*$", 1)).distinct().collect()]
-    rows = _files(spark, folders)
-    rows = rows.select(ROW, F.col("_metadata.file_path").alias(SHARD))
-    few = shards.count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(plan) if few else plan, SHARD).select(ROW, "into", "number")
+    rows = _rows(spark, plan).select(ROW, "into", "number")
     folder = _folder(root, had)
     # each new shard has a task of its own: hashes of a few names would put several into one
     rows.repartitionById(merged, "number").drop("number").write.option("compression", "zstd").partitionBy("into").parquet(folder)
     kept = shards.join(plan, "shard", "left_anti")
-    new = commit(kept.unionByName(_listed(spark, folder)), root, had[-1])
-    plan.unpersist()
-    return new
+    return commit(kept.unionByName(_listed(spark, folder)), root, had[-1])
 
 
-def _files(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """The files below some data folders, whether they lie in groups or not."""
-    return spark.read.option("recursiveFileLookup", "true").parquet(*folders)
+def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Some files, or the files below some data folders, whether they lie in groups or not."""
+    return spark.read.option("recursiveFileLookup", "true").parquet(*paths)
+
+
+def _rows(spark: SparkSession, shards: DataFrame) -> DataFrame:
+    """``row`` of each document in ``shards(shard, ...)``, of which there is one at least, with their columns: no other file is read while they are few."""
+    few = shards.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    path = F.col("shard") if few else F.regexp_extract("shard", f"^(.*/{FOLDER})/.*$", 1)
+    paths = [r[0] for r in shards.select(path).distinct().collect()]
+    rows = _files(spark, paths).select(ROW, F.col("_metadata.file_path").alias(SHARD))
+    return rows.join(F.broadcast(shards) if few else shards, SHARD)
 
 
 def read(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """The documents of a version: ``row``, a struct of their columns, and ``shard``, the file."""
+    """The documents of a version: ``row``, a struct of their columns, and ``shard``, the file, with what the manifest has of it."""
     shards = manifest(spark, root, version)
-    folders = [r[0] for r in shards.select(F.regexp_extract("shard", f"^(.*/{FOLDER})/.*$", 1)).distinct().collect()]
-    if not folders:
-        return spark.createDataFrame([], f"{ROW} struct<doc_id:long>, {SHARD} string")
-    rows = _files(spark, folders).select(ROW, F.col("_metadata.file_path").alias(SHARD))
-    few = shards.count() <= BROADCAST_ROWS
-    own = shards.select(SHARD)
-    return rows.join(F.broadcast(own) if few else own, SHARD)
+    if not shards.limit(1).count():
+        return spark.createDataFrame([], f"{ROW} struct<doc_id:long>, {MANIFEST}")
+    return _rows(spark, shards)
 
 
 def vacuum(spark: SparkSession, root: str, keep: int = 1) -> None:
@@ -194,9 +195,6 @@ def shard(docs: DataFrame, root: str | None = None) -> DataFrame:
     append(docs, root)
     version = compact(spark, root)
     rows = read(spark, root, version)
-    shards = manifest(spark, root, version).select("shard", "tier", F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"))
-    few = shards.count() <= BROADCAST_ROWS
     # the version, the group and the writer's numbers, without the random parts of file names
     name = F.concat_ws("/", *(F.regexp_extract("shard", e, 1) for e in (r"/data/(v\d{8})-", r"/into=([^/]+)/", r"/part-(\d+)-", r"[-.]c(\d+)\.")))
-    named = rows.select("row.doc_id", "shard").join(F.broadcast(shards) if few else shards, "shard")
-    return named.select("doc_id", name.alias("shard"), "tier", "shard_rows", "shard_bytes")
+    return rows.select("row.doc_id", name.alias("shard"), "tier", F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from kinfold.llm._frames import adding
+from kinfold.llm._frames import adding, columns, packed
 from kinfold.llm._words import U, Words, _powers, blob, groups, mix, pieces
 from kinfold.session import written
 
@@ -309,7 +309,6 @@ def clean(docs: DataFrame) -> DataFrame:
 
     A line break or space that only parted removed sentences goes with them.
     """
-    names = docs.columns
     def keys(batch: pa.RecordBatch) -> list[pa.Array]:
         out = []
         for piece in pieces(batch):
@@ -317,8 +316,8 @@ def clean(docs: DataFrame) -> DataFrame:
             out.append(_text_keys(w))
         return [pa.array(np.concatenate(out))]
 
-    packed = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("id"))
-    keyed = adding(packed, [StructField("text_key", LongType())], keys)
+    rows = packed(docs, F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("id"))
+    keyed = adding(rows, [StructField("text_key", LongType())], keys)
     found = removals(docs).where("marks is not null").dropDuplicates(["doc_id", "text_key"]).withColumnsRenamed({"doc_id": "i", "text_key": "k"})
     joined = keyed.join(found, keyed["id"].eqNullSafe(found["i"]) & (keyed["text_key"] == found["k"]), "left")
 
@@ -341,4 +340,4 @@ def clean(docs: DataFrame) -> DataFrame:
         return [pa.array(out, pa.string())]
 
     done = adding(joined.select("row", "text", "marks"), [StructField("cut", StringType())], cut)
-    return done.select(*(F.col("cut").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names))
+    return done.select(*columns(docs, text=F.col("cut")))

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from kinfold.llm import sharding
 
@@ -43,3 +44,30 @@ def test_one_writer_wins(spark, tmp_path):
     with pytest.raises(sharding.Conflict):
         sharding.commit(shards, root, 1)
     assert sharding.versions(spark, root) == [1, 2] and sharding.manifest(spark, root).count() == 1
+
+
+def test_only_runs_of_one_tier_meet(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TARGET_BYTES", 6400)
+    size = [90] * 5 + [150] * 3 + [500] * 9 + [1800] * 3 + [3000, 3100] + [3300, 9000]
+    rows = [(f"s{i:02}", n) for i, n in enumerate(size)]
+    shards = spark.createDataFrame(rows, "shard string, n_bytes long").withColumn("tier", sharding.tier(F.col("n_bytes")))
+    tiers = {r["shard"]: (r["tier"], r["n_bytes"]) for r in shards.collect()}
+    groups = {}
+    for r in sharding.moves(shards).collect():
+        groups.setdefault((r["into"], r["number"]), []).append(tiers[r["shard"]])
+    assert sorted(n for _, n in groups) == list(range(len(groups)))
+    # the three of 150 bytes are too few and too small; what is near the target stays
+    assert all(len({t for t, _ in g}) == 1 for g in groups.values())
+    moved = sorted(n for g in groups.values() for _, n in g)
+    assert 150 not in moved and 3300 not in moved and 9000 not in moved and moved.count(90) == 5 and moved.count(500) == 9
+
+
+def test_only_named_files_are_read(spark, tmp_path):
+    root = str(tmp_path)
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    sharding.append(docs, root)
+    sharding.append(docs, root)
+    first = sharding.read(spark, root, 1)
+    named = {r[0].rsplit("/", 1)[1] for r in sharding.manifest(spark, root, 1).select("shard").collect()}
+    assert {f.rsplit("/", 1)[1] for f in first.inputFiles() if "/data/" in f} == named
+    assert first.count() == 2 and sharding.read(spark, root).count() == 4
