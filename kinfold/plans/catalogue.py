@@ -528,3 +528,6 @@ def ruled_parts(spark, sf_dir):
     records = part_records(spark, sf_dir).selectExpr("*", *(f"{NO_STRINGS} as {c}" for c in ("emails", "phones", "urls")), "cast(map() as map<string,string>) as handles", "cast(null as string) as did")
     rulings = table(spark, sf_dir, "orders").selectExpr("cast(o_orderkey as int) as pos", "concat('part:', o_custkey) as key_a", "concat('part:', o_custkey + 4) as key_b", "if(o_orderstatus = 'F', 'same', 'different') as verdict")
     return records, rulings
+
+
+from kinfold.plans import rendered  # noqa: E402, F401  registers the readers' queries

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kinfold.functions.text import LIMIT_HIT, clean, is_key_shaped, is_public_url, linkedin_answer_key, present, text
+from kinfold.functions.text import LIMIT_HIT, clean, is_key_shaped, is_public_url, linkedin_answer_key, present, redact_secrets, text
 from kinfold.functions.validate import answer, computed, is_non_answer, json_block
 
 GROUP, CUE_GROUP, CUE_LIMIT, LIMIT_CODE = 4, 8, 400, 75
@@ -178,8 +178,12 @@ def agent_args(raw: str | None) -> list[str] | None:
         return None
 
 
-def ask(units: DataFrame, command: list[str], timeout: float = 300) -> DataFrame:
-    """``(unit, output, code, ok, limit, explicit)``: each unit's ``prompt`` sent to a command, as many at once as there are tasks."""
+def ask(units: DataFrame, command: list[str], timeout: float = 300, default_agent: bool = False) -> DataFrame:
+    """``(unit, output, error, code, ok, limit, explicit)``: each unit's ``prompt`` sent to a command, as many at once as there are tasks.
+
+    ``error``: the end of what it wrote there, without secrets. Only of the
+    default agent is a usage limit seen that is said in text alone.
+    """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         env = {k: os.environ[k] for k in ("PATH", "HOME", "LANG") if k in os.environ}
         for frame in frames:
@@ -187,13 +191,23 @@ def ask(units: DataFrame, command: list[str], timeout: float = 300) -> DataFrame
             for r in frame.itertuples():
                 try:
                     p = subprocess.run(command, input=r.prompt, capture_output=True, text=True, timeout=timeout, env=env)
-                    code, out, err = p.returncode, p.stdout[: 1 << 20], p.stderr[: 1 << 16]
+                    code, out, err = p.returncode, p.stdout[: 1 << 20], p.stderr[-(1 << 16) :]
                 except (subprocess.TimeoutExpired, OSError) as e:
                     code, out, err = -1, "", str(e)
-                rows.append((r.unit, out, code, *outcome(code, out, err, False)))
-            yield pd.DataFrame(rows, columns=["unit", "output", "code", "ok", "limit", "explicit"])
+                rows.append((r.unit, out, err, code, *outcome(code, out, err, default_agent)))
+            yield pd.DataFrame(rows, columns=["unit", "output", "error", "code", "ok", "limit", "explicit"])
+
+    told = units.select("unit", "prompt").mapInPandas(run, "unit long, output string, error string, code int, ok boolean, limit boolean, explicit boolean")
+    return told.withColumn("error", F.right(clean(redact_secrets(F.col("error")), 1 << 16), F.lit(400)))
+
 
-    return units.select("unit", "prompt").mapInPandas(run, "unit long, output string, code int, ok boolean, limit boolean, explicit boolean")
+def agent(env: dict[str, str], default: list[str]) -> tuple[list[str], bool]:
+    """``(command, is the default)`` from ``AGENT_COMMAND`` and ``AGENT_ARGS``; arguments that do not parse are refused."""
+    args = agent_args(env.get("AGENT_ARGS"))
+    if args is None:
+        raise ValueError("AGENT_ARGS is no JSON list")
+    command = (env.get("AGENT_COMMAND") or "").strip()
+    return ([command, *args], False) if command else ([*default, *args], True)
 
 
 def backoff(attempt: int, base: float = 20, cap: float = 180, rng: random.Random | None = None) -> float:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,10 +104,13 @@ def write_knowledge(people: DataFrame, path: str, day: str) -> int:
     blocks, _ = knowledge(people)
     n = blocks.count()
     ordered = blocks.orderBy(F.collate("name", "UNICODE"), "first_ord")
-    lines = ["# People", "", f"{n} contacts, exported {day}.", "Each entry: who they are, what they do, how the owner knows them.", ""]
-    for row in ordered.toLocalIterator():
-        lines += [row["heading"], row["block"], ""]
-    replace_file(path, "\n".join(lines))
+
+    def lines() -> Iterator[str]:
+        yield f"# People\n\n{n} contacts, exported {day}.\nEach entry: who they are, what they do, how the owner knows them.\n"
+        for row in ordered.toLocalIterator():
+            yield f"\n{row['heading']}\n{row['block']}\n"
+
+    replace_file(path, lines())
     return n
 
 

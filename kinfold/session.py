@@ -16,6 +16,10 @@ SETTINGS = {
 }
 
 
+#: Folders of applications that are deleted when they end.
+_ENDING: set[str] = set()
+
+
 def builder(app: str = "kinfold") -> SparkSession.Builder:
     """A session builder with the settings that results depend on."""
     return SparkSession.builder.appName(app).config(map=SETTINGS)
@@ -40,11 +44,17 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back.
 
     Cuts lineage like ``checkpoint()``, survives lost executors, and keeps
-    columns encoded, so it takes less disk than serialized rows.
+    columns encoded, so it takes less disk than serialized rows. What an
+    application wrote so goes when it ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kinfold/{uuid.uuid4().hex}/{name}"
+    own = f"{shared_dir(spark)}/kinfold/{spark.sparkContext.applicationId}"
+    path = f"{own}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    if own not in _ENDING:
+        _ENDING.add(own)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 

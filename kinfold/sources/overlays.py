@@ -9,12 +9,13 @@ refuse and leave every byte as it was.
 from __future__ import annotations
 
 import contextlib
+import fcntl
 import json
 import os
 import re
 import tempfile
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,14 +80,14 @@ def stamp(source: dict) -> dict:
 # -- files ------------------------------------------------------------------------------------
 
 
-def replace_file(path: str | Path, content: str) -> None:
-    """Replace a file whole: written beside it, synced, renamed; its mode stays."""
+def replace_file(path: str | Path, content: str | Iterable[str]) -> None:
+    """Replace a file whole: written beside it, part by part, synced, renamed; its mode stays."""
     path = Path(path)
     mode = path.stat().st_mode & 0o777 if path.exists() else 0o644
     fd, beside = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
     try:
         with os.fdopen(fd, "w", encoding="utf-8") as f:
-            f.write(content)
+            f.writelines([content] if isinstance(content, str) else content)
             f.flush()
             os.fsync(f.fileno())
         os.chmod(beside, mode)
@@ -97,51 +98,31 @@ def replace_file(path: str | Path, content: str) -> None:
         raise
 
 
-def _gone(pid: int) -> bool:
-    """Whether there is surely no such process."""
-    try:
-        os.kill(pid, 0)
-    except ProcessLookupError:
-        return True
-    except PermissionError:
-        pass
-    return False
-
-
 @contextlib.contextmanager
-def locked(path: str | Path, attempts: int = 600, wait: float = 0.025) -> Iterator[None]:
-    """Hold ``path.lock``, a link that appears with its owner's number in it; only a dead owner's is taken over."""
+def locked(path: str | Path, wait: float = 15, pause: float = 0.025) -> Iterator[None]:
+    """Hold ``path`` for one process: an advisory lock on the file ``path.lock``, which stays.
+
+    The kernel lets go of it when its holder ends, however it ends, so there is
+    nothing to take over and nobody can release another's. Who does not get it
+    in time says so in ``path.lock-stalls`` and raises.
+    """
     lock = Path(f"{path}.lock")
-    own = Path(f"{lock}.{os.getpid()}.{time.monotonic_ns()}")
-    own.write_text(str(os.getpid()))
-    try:
-        for _ in range(attempts):
+    until = time.monotonic() + wait
+    with lock.open("a+") as held:
+        while True:
             try:
-                os.link(own, lock)
+                fcntl.flock(held, fcntl.LOCK_EX | fcntl.LOCK_NB)
                 break
-            except FileExistsError:
-                with contextlib.suppress(FileNotFoundError, ValueError):
-                    holder = int(lock.read_text())
-                    if _gone(holder):
-                        # moved aside first, so that of several that see it dead only one takes it away
-                        aside = Path(f"{own}.stale")
-                        os.rename(lock, aside)
-                        if aside.read_text() != str(holder):
-                            with contextlib.suppress(FileExistsError):
-                                os.link(aside, lock)
-                        aside.unlink()
-                        continue
-                time.sleep(wait)
-        else:
-            with Path(f"{path}.lock-stalls").open("a") as f:
-                f.write(f"{os.getpid()}\n")
-            raise TimeoutError(f"{lock} is held by {lock.read_text() if lock.exists() else 'nobody'}")
-        try:
-            yield
-        finally:
-            lock.unlink()
-    finally:
-        own.unlink()
+            except BlockingIOError:
+                if time.monotonic() >= until:
+                    with Path(f"{path}.lock-stalls").open("a") as f:
+                        f.write(f"{os.getpid()}\n")
+                    raise TimeoutError(f"{lock} is held by process {lock.read_text().strip() or 'unknown'}") from None
+                time.sleep(pause)
+        held.truncate(0)
+        held.write(str(os.getpid()))
+        held.flush()
+        yield
 
 
 def update(path: str | Path, change: Callable[[object], object], empty: object, check: Callable[[object], object]) -> None:

@@ -1,3 +1,4 @@
+import time
 import json
 import multiprocessing
 import os
@@ -30,16 +31,29 @@ def test_no_update_is_lost(tmp_path):
     [j.start() for j in jobs]
     [j.join() for j in jobs]
     assert len(o.entries(json.loads((tmp_path / "attested.json").read_text()))) == 100
-    assert os.listdir(tmp_path) == ["attested.json"]
+    assert sorted(os.listdir(tmp_path)) == ["attested.json", "attested.json.lock"]
 
 
-def test_lock_of_a_dead_owner_is_taken_and_a_living_one_is_not(tmp_path):
+def _hold(path, ready, seconds):
+    with o.locked(path):
+        ready.set()
+        time.sleep(seconds)
+
+
+def test_lock_of_a_dead_owner_is_free_and_of_a_living_one_is_not(tmp_path):
     path = tmp_path / "x.json"
-    (tmp_path / "x.json.lock").write_text("999999999")
-    o.rule(path, "a:1", "b:2", "same")
-    (tmp_path / "x.json.lock").write_text(str(os.getpid()))
-    with pytest.raises(TimeoutError), o.locked(path, attempts=3, wait=0.01):
+    ctx = multiprocessing.get_context("fork")
+    ready = ctx.Event()
+    job = ctx.Process(target=_hold, args=(path, ready, 60))
+    job.start()
+    ready.wait(30)
+    with pytest.raises(TimeoutError, match=str(job.pid)), o.locked(path, wait=0.05):
         pass
+    assert (tmp_path / "x.json.lock-stalls").read_text() == f"{os.getpid()}\n"
+    job.kill()
+    job.join()
+    o.rule(path, "a:1", "b:2", "same")
+    assert path.exists()
 
 
 def test_malformed_files_stay_as_they_are(tmp_path):

@@ -149,3 +149,30 @@ def test_bank_stream_takes_only_what_is_new(spark, tmp_path):
     (tmp_path / "bank/2.json").write_text("\n".join((row("a"), row("d"))))
     bank.take_new(spark, src, out, chk)
     assert sorted(r["key"] for r in spark.read.parquet(out).collect()) == ["a", "b", "d"]
+
+
+def test_a_late_answer_is_an_attempt_too(spark, tmp_path):
+    src, out, chk = (str(tmp_path / x) for x in ("bank", "out", "chk"))
+    for day in ("2024-06-01", "2024-01-01", "2024-06-02"):
+        spark.createDataFrame([(day, "high", f"{day} 10:00:00", "{}"), ("same", "low", f"{day} 10:00:00", "{}")], bank.SCHEMA).write.mode("append").json(src)
+        bank.take_new(spark, src, out, chk)
+    rows = spark.read.parquet(out).collect()
+    assert sorted(r["key"] for r in rows) == ["2024-01-01", "2024-06-01", "2024-06-02", "same"]
+
+
+def test_an_agents_errors_are_redacted_and_its_limits_read(spark):
+    units = spark.createDataFrame([(1, "hello")], "unit long, prompt string")
+    command = ["sh", "-c", "echo 'password: hunter22 usage limit reached' >&2; exit 1"]
+    told = queue.ask(units, command, default_agent=True).first()
+    assert "hunter22" not in told["error"] and told["limit"] and not told["explicit"] and not told["ok"]
+    assert not queue.ask(units, command).first()["limit"]
+    assert queue.agent({}, ["x"]) == (["x"], True) and queue.agent({"AGENT_COMMAND": "y", "AGENT_ARGS": '["-p", "a b"]'}, ["x"]) == (["y", "-p", "a b"], False)
+
+
+def test_a_malformed_file_is_told(spark, tmp_path):
+    from kinfold.sources.exports import read_normalized
+
+    (tmp_path / "a.json").write_text("{broken")
+    (tmp_path / "b.json").write_text('{"source": "s", "records": [{"sourceId": "1", "name": "Ann"}]}')
+    records, warnings = read_normalized(spark, str(tmp_path))
+    assert [r["key"] for r in records.collect()] == ["s:1"] and [r["warning"] for r in warnings.collect()] == ["no JSON"]
