@@ -530,4 +530,4 @@ def ruled_parts(spark, sf_dir):
     return records, rulings
 
 
-from kinfold.plans import rendered  # noqa: E402, F401  registers the readers' queries
+from kinfold.plans import checked, rendered  # noqa: E402, F401  register more queries
