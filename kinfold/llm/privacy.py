@@ -18,7 +18,7 @@ the same entity, and copies of a document have the same surroundings.
 1. One pass finds the base spans and hashes entities, nearby terms and their
    surroundings.
 2. Pairs with enough surroundings name candidate terms; a second pass, with the
-   candidates in a filter of fixed size, counts the documents of each.
+   candidates in a filter of bounded size, counts the documents of each.
 3. A third pass marks the terms beyond the threshold, joined by hash.
 
 Passes 2 and 3 are left out when no pair has enough surroundings.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
 from kinfold.llm._frames import adding, columns, packed
-from kinfold.llm._words import U, Words, blob, mix, pieces
+from kinfold.llm._words import U, Words, blob, filter_bits, mix, pieces
 from kinfold.session import written
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -51,6 +51,7 @@ LEAST_BYTES = 3
 CODE_LENGTH = 16
 CODE_KIND = 5
 GENERALISE, REMOVE = 1.0, 0.25
+#: Bits of the filter for terms, at least.
 FILTER_BITS = 1 << 24
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -193,26 +194,28 @@ def _found(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, text_key long, spans string, codes array<struct<start:int,end:int>>, near array<struct<entity:long,context:long,terms:array<long>>>")
 
 
-def _places(h: np.ndarray) -> np.ndarray:
-    return np.concatenate([h & U(FILTER_BITS - 1), h >> U(24) & U(FILTER_BITS - 1)]).astype(np.int64)
+def _places(h: np.ndarray, size: int) -> np.ndarray:
+    return np.concatenate([h & U(size - 1), h >> U(24) & U(size - 1)]).astype(np.int64)
 
 
 def _filter(terms: DataFrame):
     """A broadcast of bits that hold every ``term``."""
+    size = filter_bits(terms.count(), FILTER_BITS)
+
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(size, bool)
         for batch in batches:
-            bits[_places(batch.column(0).to_numpy().view(U))] = True
+            bits[_places(batch.column(0).to_numpy().view(U), size)] = True
         yield pa.RecordBatch.from_pydict({"bits": [zlib.compress(blob(np.packbits(bits)), 1)]})
 
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     for row in terms.select("term").coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator():
         bits |= np.frombuffer(zlib.decompress(row[0]), np.uint8)
     return terms.sparkSession.sparkContext.broadcast(bits)
 
 
 def _held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    p = _places(h)
+    p = _places(h, len(bits) * 8)
     return (bits[p >> 3] >> (7 - (p & 7)) & 1).reshape(2, -1).all(axis=0)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
 from kinfold.llm._frames import adding, columns, packed
-from kinfold.llm._words import U, Words, _powers, blob, groups, mix, pieces
+from kinfold.llm._words import U, Words, _powers, blob, filter_bits, groups, mix, pieces
 from kinfold.session import written
 
 #: Words of a span at least.
@@ -162,7 +162,8 @@ def _frequent(repeated: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The most frequent hashes, ``FREQUENT`` of them at most, in order of hash, with their first places.
 
     How many hashes have each size of count is known first, so only those that
-    are wanted come to the driver.
+    are wanted come to the driver. If more than that share the largest count,
+    none is frequent: each is then less than one in ``FREQUENT`` of all places.
     """
     size = lambda t: np.floor(8 * np.log2(_read(t, "count"))).astype(np.int32)
 
@@ -196,20 +197,23 @@ def _frequent(repeated: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _filter(repeated: DataFrame) -> np.ndarray:
     """Bits that hold every repeated hash."""
+    keys = repeated.agg(F.coalesce(F.sum(F.octet_length("hash")), F.lit(0))).first()[0] // 8
+    size = filter_bits(keys, FILTER_BITS)
+
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(size, bool)
         for batch in batches:
-            bits[_places(_read(pa.Table.from_batches([batch]), "hash", U))] = True
+            bits[_places(_read(pa.Table.from_batches([batch]), "hash", U), size)] = True
         yield pa.RecordBatch.from_pydict({"bits": [zlib.compress(blob(np.packbits(bits)), 1)]})
 
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     for row in repeated.select("hash").coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator():
         bits |= np.frombuffer(zlib.decompress(row[0]), np.uint8)
     return bits
 
 
-def _places(h: np.ndarray) -> np.ndarray:
-    return np.concatenate([h & U(FILTER_BITS - 1), h >> U(39)]).astype(np.int64)
+def _places(h: np.ndarray, size: int) -> np.ndarray:
+    return np.concatenate([h & U(size - 1), h >> U(65 - size.bit_length())]).astype(np.int64)
 
 
 def removals(docs: DataFrame, ends: bool = True) -> DataFrame:
@@ -242,7 +246,7 @@ def removals(docs: DataFrame, ends: bool = True) -> DataFrame:
                 hot = top[at] == s.hash if len(top) else np.zeros(len(s.hash), bool)
                 first = hot & (top_doc[at] == ids[s.text]) & (top_at[at] == s.first) if len(top) else hot
                 mark = np.flatnonzero(hot & ~first)
-                p = _places(s.hash)
+                p = _places(s.hash, len(bits) * 8)
                 ask = np.flatnonzero((bits[p >> 3] >> (7 - (p & 7)) & 1).reshape(2, -1).all(axis=0) & ~hot)
                 cut = np.searchsorted(s.text[mark], np.arange(n + 1))
                 pairs = np.stack([s.first[mark], s.last[mark]], axis=1).astype(np.int32)
