@@ -5,15 +5,16 @@ and codes: long terms of letters and digits mixed, as keys and access tokens
 are. Each distinct value is a protected entity, and so is each kind, the fact
 that one stands here. A code is the entity itself, so as a term it leaves no
 bits and is taken out. Other terms near an entity are judged by what they tell
-about it: over the corpus, a term's disclosure of an entity is
-the information left to guess it, ``-log2 P(entity | term)``, where P is the
-share of the term's documents that have the term near the entity. There are few
-kinds, so what tells a kind must leave at most ``REMOVE`` bits, and is replaced. A term that
-leaves at most ``GENERALISE`` bits is replaced by a placeholder of its kind, one
-that leaves at most ``REMOVE`` bits is taken out, wherever it stands.
+about it: over the corpus, a term's disclosure of an entity is the information
+left to guess it, ``-log2 P(entity | term)``, where P is the share of the term's
+documents that have the term near the entity. A term that leaves at most
+``GENERALISE`` bits about a value is replaced by a placeholder, one that leaves
+at most ``REMOVE`` bits is taken out, wherever it stands. There are few kinds, so
+what tells a kind must leave at most ``REMOVE`` bits, and is replaced.
 
 One meeting proves nothing: a term needs ``CONTEXTS`` different surroundings of
-the same entity, and copies of a document have the same surroundings.
+the same entity, and copies of a document have the same surroundings. What
+announces a kind is in one of a hundred of the kind's surroundings at least.
 
 1. One pass finds the base spans and hashes entities, nearby terms and their
    surroundings.
@@ -45,6 +46,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 #: Terms on each side of an entity that count as near it.
 WINDOW = 5
 CONTEXTS = 3
+#: Share of a kind's surroundings that a term must be in to announce it: so a kind has at most ``2 * WINDOW / KIND_SHARE`` candidates.
+KIND_SHARE = 0.01
 #: Bytes of a term, at least: shorter ones are particles and numbers that stand everywhere.
 LEAST_BYTES = 3
 #: Characters of a code, at least; longer than words with a digit in them are.
@@ -274,13 +277,15 @@ def findings(docs: DataFrame) -> DataFrame:
     each = near.select("row", "x.entity", "x.context", F.explode("x.terms").alias("term"))
     contexts = each.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
     pairs = each.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("met"))
-    candidates = written(contexts.where(F.col("contexts") >= CONTEXTS).join(pairs, ["entity", "term"]), "candidates")
+    of_kind = F.col("entity").isin(*map(_kind_of, range(len(KINDS) + 1)))
+    places = each.where(of_kind).select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("places"))  # a row a kind
+    enough = contexts.join(F.broadcast(places), "entity", "left").where(F.col("contexts") >= F.greatest(F.lit(CONTEXTS), KIND_SHARE * F.coalesce("places", F.lit(0))))
+    candidates = written(enough.join(pairs, ["entity", "term"]), "candidates")
     own = F.transform("codes", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit("remove").alias("action")))
     marks = None
     if candidates.limit(1).count():
         df = _frequencies(rows, candidates.select("term").distinct())
         left = -F.log2(F.least(F.lit(1.0), F.col("met") / F.col("docs")))
-        of_kind = F.col("entity").isin(*map(_kind_of, range(len(KINDS) + 1)))
         bits = lambda which: F.coalesce(F.min(F.when(which, left)), F.lit(float("inf")))
         terms = candidates.join(df, "term").groupBy("term").agg(bits(~of_kind).alias("value"), bits(of_kind).alias("kind")).where((F.col("value") <= GENERALISE) | (F.col("kind") <= REMOVE))
         terms = written(terms.select("term", F.when(F.col("value") <= REMOVE, "remove").otherwise("generalise").alias("action")), "terms")
