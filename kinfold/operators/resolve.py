@@ -5,20 +5,24 @@ deferred collisions, then similar names. Similar names are decided greedily, so
 that a ruling "different" keeps whole people apart whatever joined them before.
 Everything that can touch each other is one component of the graph of all
 edges; components are found by the cluster, and inside each a small kernel
-replays the decisions in order. Names are compared once for each pair of
-distinct names; records of one name are tied by a star, and the kernel meets
-groups of records and kinds of record, so no table of record pairs is made
-anywhere. Records that nothing ties to another never get there.
+replays the decisions in order. It reads them as they come, sorted by the
+cluster, and holds the forest of people and one block of names, never the
+component's edges; rulings that repeat another come once, with their number.
+Names are compared once for each pair of distinct names; records of one name
+are tied by a star, and the kernel meets groups of records and kinds of record,
+so no table of record pairs is made anywhere. Records that nothing ties to
+another never get there.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
+from operator import attrgetter, itemgetter
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -29,7 +33,9 @@ from kinfold.operators.identifiers import star_edges
 from kinfold.session import written
 
 MAYBE, SURE = 0.8, 0.9
-STRONG, RULING, DEFERRED, NAMES, MATCH = range(5)
+STRONG, RULING, DEFERRED, MATCH, NAMES = range(5)
+#: Rows that the kernel gives at once.
+BATCH = 10_000
 
 
 def _named(records: DataFrame) -> DataFrame:
@@ -126,24 +132,28 @@ def similar(people: People, told: set, members: list[Member], near: dict[tuple[s
     kind there, so groups are met and not records, and a record is passed over
     when one of its kind and group has met all that it could meet.
     """
-    relations: dict[tuple, tuple | None] = {}
-
-    def relation(a: tuple, b: tuple) -> tuple | None:
-        if (a, b) not in relations:
+    numbers: dict[tuple, int] = {}
+    kinds_of = [numbers.setdefault(m.kind, len(numbers)) for m in members]
+    every = list(numbers)
+    relations: list[dict[int, tuple | None]] = [{} for _ in every]
+
+    def relation(x: int, y: int) -> tuple | None:
+        if y not in relations[x]:
+            a, b = every[x], every[y]
             found = near.get((a[1], b[1])) if a[0] != b[0] else None
             if found:
                 score, n = found
                 shared = not a[2].isdisjoint(b[2])
                 found = score >= SURE and shared, score, score == 1 and n >= 2 and a[4] and b[4] and (shared or not (a[3] and b[3]))
-            relations[a, b] = found
-        return relations[a, b]
+            relations[x][y] = found
+        return relations[x][y]
 
-    held: dict[int, dict[tuple, list[int]]] = {}
-    for m in members:
-        held.setdefault(people.find(m.ord), {}).setdefault(m.kind, []).append(m.ord)
+    held: dict[int, dict[int, list[int]]] = {}
+    for m, kind in zip(members, kinds_of, strict=True):
+        held.setdefault(people.find(m.ord), {}).setdefault(kind, []).append(m.ord)
     joins, met = 0, {}
-    for m in members:
-        i, kind = m.ord, m.kind
+    for m, kind in zip(members, kinds_of, strict=True):
+        i = m.ord
         own = people.find(i)
         if met.get((kind, own)) == joins:
             continue
@@ -166,38 +176,106 @@ def similar(people: People, told: set, members: list[Member], near: dict[tuple[s
                 joins += 1
                 for other, ords in held.pop(root).items():
                     held[own][other] = sorted(held[own].get(other, []) + ords)
-            elif (pair := frozenset((own, root))) not in told:
+            elif (pair := _pair(own, root)) not in told:
                 told.add(pair)
                 yield i, j, score, exact
         met[kind, own] = joins
 
 
-def replay(edges: list[dict], members: list[Member], near: dict[tuple[str, str], tuple[float, int]]) -> Iterator[tuple[str, int, int, dict]]:
-    """Decide one component in order: ``(kind, i, j, edge)`` of groups, candidates and conflicts."""
-    people, ruled, told = People(), [], set()
-    edges = sorted(edges, key=lambda e: (e["phase"], e["s1"], e["s2"], e["s3"]))
-    for e in edges:
-        if e["phase"] == STRONG or (e["phase"] == RULING and e["verdict"] == "same"):
-            people.join(e["i"], e["j"])
-        elif e["phase"] == RULING and e["verdict"] == "different":
-            ruled.append((e["i"], e["j"]))
-    for i, j in ruled:
-        people.part(i, j)
-        if people.find(i) == people.find(j):
-            yield "conflict", i, j, {}
-    for e in edges:
-        if e["phase"] == DEFERRED:
-            i, j = people.find(e["i"]), people.find(e["j"])
-            if i != j and not people.apart(i, j) and (pair := frozenset((i, j))) not in told:
-                told.add(pair)
-                yield "candidate", e["i"], e["j"], e
-    for block, rows in groupby(sorted(members), key=lambda m: m.block):
-        for i, j, score, exact in similar(people, told, list(rows), near):
-            yield "candidate", i, j, {"phase": NAMES, "s1": block, "s2": i, "s3": j, "score": score, "exact": exact}
-    for x in sorted({*people.up, *(m.ord for m in members)}):
+def _pair(i: int, j: int) -> tuple[int, int]:
+    return (i, j) if i < j else (j, i)
+
+
+class Step(NamedTuple):
+    """A row of a component: an edge, a pair of names that match, or a record's name."""
+
+    phase: int
+    s1: int = 0
+    s2: int = 0
+    s3: int = 0
+    i: int = 0
+    j: int = 0
+    score: float | None = None
+    type: str | None = None
+    value: str | None = None
+    verdict: str | None = None
+    source: str | None = None
+    name: str | None = None
+    other: str | None = None
+    tokens: Iterable[str] = ()
+    has: bool | None = None
+    once: bool | None = None
+    n: int | None = None
+
+
+def decide(steps: Iterable[Step]) -> Iterator[tuple[str, int, int, dict]]:
+    """Decide one component: ``(kind, i, j, edge)`` of groups, candidates and conflicts.
+
+    ``steps`` come by phase, rulings "different" after "same", then by ``s1``,
+    ``s2``, ``s3``; they are read once, and of them only the names of a block
+    are held at a time. A conflict's ``s1`` is how many rulings say it.
+    """
+    people, told, near, known = People(), set(), {}, {}
+    for phase, part in groupby(steps, key=attrgetter("phase")):
+        if phase == NAMES:
+            for block, rows in groupby(part, key=attrgetter("s1")):
+                # one object for equal texts and sets of tokens, however many records have them
+                kept = lambda x: known.setdefault(x, x)
+                members = [Member(block, e.i, kept(e.source), kept(e.name), kept(frozenset(e.tokens)), e.has, e.once) for e in rows]
+                for i, j, score, exact in similar(people, told, members, near):
+                    yield "candidate", i, j, {"phase": NAMES, "s1": block, "s2": i, "s3": j, "score": score, "exact": exact}
+            continue
+        for e in part:
+            if phase == MATCH:
+                near[e.name, e.other] = e.score, e.n
+            elif phase == STRONG or (phase == RULING and e.verdict == "same"):
+                people.join(e.i, e.j)
+            elif phase == RULING and e.verdict == "different":
+                people.part(e.i, e.j)
+                if people.find(e.i) == people.find(e.j):
+                    yield "conflict", e.i, e.j, {"s1": e.n}
+            elif phase == DEFERRED:
+                i, j = people.find(e.i), people.find(e.j)
+                if i != j and not people.apart(i, j) and (pair := _pair(i, j)) not in told:
+                    told.add(pair)
+                    yield "candidate", e.i, e.j, {"phase": DEFERRED, "s1": e.s1, "s2": e.s2, "s3": e.s3, "score": e.score, "exact": False, "type": e.type, "value": e.value}
+    for x in sorted(people.up):
         yield "group", x, people.find(x), {}
 
 
+def replay(edges: list[dict], members: list[Member], near: dict[tuple[str, str], tuple[float, int]]) -> Iterator[tuple[str, int, int, dict]]:
+    """:func:`decide` for a component at hand, in any order."""
+    steps = [Step(**{c: e[c] for c in Step._fields if c in e}) for e in edges]
+    steps = [e if e.n else e._replace(n=1) for e in sorted(steps, key=lambda e: (e.phase, e.verdict == "different", *e[1:4]))]
+    steps += [Step(MATCH, name=a, other=b, score=score, n=n) for (a, b), (score, n) in near.items()]
+    steps += [Step(NAMES, m.block, i=m.ord, source=m.source, name=m.name, tokens=m.tokens, has=m.has, once=m.once) for m in sorted(members)]
+    return decide(steps)
+
+
+DECIDED = pa.schema([("kind", pa.string()), ("i", pa.int64()), ("j", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("s3", pa.int64()), ("phase", pa.int32()), ("score", pa.float64()), ("exact", pa.bool_()), ("type", pa.string()), ("value", pa.string())])
+
+
+def decided(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The decisions of each component in ``batches`` of ``(ci, *Step)``, a component's rows side by side and in order."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), DECIDED, strict=True)], schema=DECIDED)
+
+    out = []
+    for _, own in groupby(rows(), key=itemgetter(0)):
+        for kind, i, j, e in decide(Step._make(r[1:]) for r in own):
+            out.append((kind, i, j, e.get("s1"), e.get("s2"), e.get("s3"), e.get("phase"), e.get("score"), e.get("exact", False), e.get("type"), e.get("value")))
+            if len(out) == BATCH:
+                yield batch(out)
+                out = []
+    if out:
+        yield batch(out)
+
+
 def resolve(records: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(groups, candidates, warnings)`` for ``records`` with a unique ``ord`` and ``decisions``.
 
@@ -216,7 +294,9 @@ def resolve(records: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFr
     col = F.col
     strong = shaped(star, F.when(col("kind") == "deferred", DEFERRED).otherwise(STRONG), s1=col("ord"), s2=col("rank"), s3=col("at"), i=col("holder"), j=col("ord"), score=F.lit(0.0), type=col("type"), value=col("value"))
     rulings, unknown = ruling_edges(records, decisions)
-    ruled = shaped(rulings, F.lit(RULING), s1=col("pos"), i=col("i"), j=col("j"), verdict=col("verdict"))
+    # a ruling said again decides nothing; only how often one conflicts is told
+    rulings = rulings.groupBy("i", "j", "verdict").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
+    ruled = shaped(rulings, F.lit(RULING), s1=col("pos"), i=col("i"), j=col("j"), verdict=col("verdict"), n=col("n"))
     rows = written(_named(records), "named")
     near = written(near_names(rows), "near")
     first = rows.groupBy("norm").agg(F.min("ord").alias("first"))
@@ -234,21 +314,13 @@ def resolve(records: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFr
     placed = edges.join(ends[0], "i").join(ends[1], "j").where("ci = cj").drop("cj")
     tokens = field_tokens(col("employer"), EMPLOYER_WORDS)
     members = rows.join(blocks, "last").join(once, ["source", "norm"]).join(ends[0].withColumnRenamed("i", "ord"), "ord").withColumn("has", F.coalesce("employer", F.lit("")) != "")
-    held = shaped(members.withColumn("c", col("ci")), F.lit(NAMES), s1=col("block"), i=col("ord"), source=col("source"), name=col("norm"), tokens=tokens, has=col("has"), once=col("once"), j=col("ci")).withColumn("ci", col("j"))
+    held = shaped(members.withColumn("c", col("ci")), F.lit(NAMES), s1=col("block"), s2=col("ord"), i=col("ord"), source=col("source"), name=col("norm"), tokens=tokens, has=col("has"), once=col("once"), j=col("ci")).withColumn("ci", col("j"))
     of_names = near.join(first.withColumnRenamed("norm", "na"), "na").join(ends[0].withColumnRenamed("i", "first"), "first")
     matched = shaped(of_names, F.lit(MATCH), name=col("na"), other=col("nb"), score=col("score"), n=col("n"), j=col("ci")).withColumn("ci", col("j"))
 
-    def kernel(part: pd.DataFrame) -> pd.DataFrame:
-        own = part[part["phase"] == NAMES]
-        people = [Member(*m[:4], frozenset(m[4]), *m[5:]) for m in zip(own["s1"], own["i"], own["source"], own["name"], own["tokens"], own["has"], own["once"], strict=True)]
-        same = part[part["phase"] == MATCH]
-        near = {(a, b): (s, int(n)) for a, b, s, n in zip(same["name"], same["other"], same["score"], same["n"], strict=True)}
-        told = replay(part[part["phase"] < NAMES].to_dict("records"), people, near)
-        out = [(kind, i, j, e.get("s1"), e.get("s2"), e.get("s3"), e.get("phase"), e.get("score"), e.get("exact", False), e.get("type"), e.get("value")) for kind, i, j, e in told]
-        return pd.DataFrame(out, columns=["kind", "i", "j", "s1", "s2", "s3", "phase", "score", "exact", "type", "value"])
-
-    whole = placed.unionByName(held).unionByName(matched)
-    out = whole.groupBy("ci").applyInPandas(kernel, "kind string, i long, j long, s1 long, s2 long, s3 long, phase int, score double, exact boolean, type string, value string")
+    whole = placed.unionByName(held).unionByName(matched).select("ci", *Step._fields)
+    whole = whole.repartition("ci").sortWithinPartitions("ci", "phase", col("verdict") == "different", "s1", "s2", "s3")
+    out = whole.mapInArrow(decided, "kind string, i long, j long, s1 long, s2 long, s3 long, phase int, score double, exact boolean, type string, value string")
     out = written(out, "decided")
     in_groups = out.where("kind = 'group'").select(F.col("i").alias("ord"), F.col("j").alias("member"))
     first = in_groups.groupBy("member").agg(F.min("ord").alias("root"))
@@ -265,7 +337,7 @@ def resolve(records: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFr
     warnings = (
         told.select(F.lit("names differ").alias("kind"), F.col("ka").alias("key_a"), F.col("key").alias("key_b"), F.col("type").alias("detail"))
         .unionByName(unknown.select(F.lit("unknown key in ruling").alias("kind"), "key_a", "key_b", F.col("pos").cast("string").alias("detail")))
-        .unionByName(pairs.where("kind = 'conflict'").select(F.lit("ruling conflicts with a merge").alias("kind"), "key_a", "key_b", F.lit("different").alias("detail")))
+        .unionByName(pairs.where("kind = 'conflict'").withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "s1"))).select(F.lit("ruling conflicts with a merge").alias("kind"), "key_a", "key_b", F.lit("different").alias("detail")))
     )
     return groups, candidates, warnings
 

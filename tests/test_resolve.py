@@ -2,15 +2,17 @@
 
 import random
 import time
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kinfold.functions.names import name_match
 from kinfold.operators.fold import fold
 from kinfold.operators.ids import assign_ids
-from kinfold.operators.resolve import Member, near_names, replay, resolve
+from kinfold.operators.resolve import Member, decided, near_names, replay, resolve
 from kinfold.plans.build import build_index
 from kinfold.schema import ATTESTED, DECISION, ENRICHMENT, RECORD
 
@@ -150,6 +152,44 @@ def test_a_common_name_is_met_by_groups():
     assert {f[2] for f in found} == {0} and time.perf_counter() - start < 60
 
 
+STEP = pa.schema([("ci", pa.int64()), ("phase", pa.int32()), *((c, pa.int64()) for c in ("s1", "s2", "s3", "i", "j")), ("score", pa.float64()), *((c, pa.string()) for c in ("type", "value", "verdict", "source", "name", "other")), ("tokens", pa.list_(pa.string())), ("has", pa.bool_()), ("once", pa.bool_()), ("n", pa.int32())])
+
+
+def test_kernel_holds_no_edges():
+    """A component of 100,000 rulings comes in batches, and what is held are its five records."""
+    def batches():
+        for k in range(100):
+            rulings = [{"ci": 0, "phase": 1, "s1": 1000 * k + x, "s2": 0, "s3": 0, "i": x % 4, "j": x % 4 + 1, "verdict": "same", "n": 1} for x in range(1000)]
+            yield pa.RecordBatch.from_pylist(rulings, STEP)
+
+    tracemalloc.start()
+    found = [r for b in decided(batches()) for r in b.to_pylist()]
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r["kind"], r["i"], r["j"]) for r in found] == [("group", x, 0) for x in range(5)]
+    assert held < 10_000_000
+
+
+def test_kernel_tells_components_apart_wherever_batches_end():
+    rows = []
+    for ci in (0, 10, 20):
+        rows.append({"ci": ci, "phase": 1, "i": ci, "j": ci + 1, "verdict": "same", "n": 1})
+        rows.append({"ci": ci, "phase": 1, "i": ci + 1, "j": ci, "verdict": "different", "n": 7})
+        rows.append({"ci": ci, "phase": 3, "name": "ann lee", "other": "ann lee", "score": 1.0, "n": 2})
+        rows += [{"ci": ci, "phase": 4, "s1": ci, "s2": ci + x, "i": ci + x, "source": f"s{x}", "name": "ann lee", "tokens": ["acme"] if x < 3 else [], "has": x < 3, "once": True} for x in range(4)]
+    want = [t for ci in (0, 10, 20) for t in (("conflict", ci + 1, ci, 7), ("candidate", ci, ci + 3, ci), *(("group", ci + x, ci, None) for x in range(3)), ("group", ci + 3, ci + 3, None))]
+    for size in (1, 4, len(rows)):
+        batches = [pa.RecordBatch.from_pylist(rows[a : a + size], STEP) for a in range(0, len(rows), size)]
+        assert [(r["kind"], r["i"], r["j"], r["s1"]) for b in decided(batches) for r in b.to_pylist()] == want
+
+
+def test_rulings_said_again_are_told_again(spark):
+    rows = [{"name": "Al Roe", "source": s} for s in ("a", "b")]
+    again = [("a:0", "b:1", "different")] * 3 + [("a:0", "b:1", "same")] * 2 + [("b:1", "a:0", "different")]
+    groups, _, warnings = people_of(spark, rows, again)
+    assert groups == [[0, 1]] and warnings == ["ruling conflicts with a merge"] * 4
+
+
 def one(spark, rows, enrichment=None, attested=None):
     rec = records(spark, rows)
     groups = rec.select("ord", F.lit(0).cast("long").alias("root"))
